@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import line_dedup, simhash, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2,
+    "op3_simhash": simhash.op3,
+    "op8_line_dedup": line_dedup.op8,
 }
 
 ORACLE: dict[str, str] = {}
