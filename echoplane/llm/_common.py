@@ -192,9 +192,9 @@ def merge_intervals(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
-def pack(*parts) -> bytes:
+def pack(*parts, level: int = 1) -> bytes:
     """Arrays and bytes as one compressed value."""
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(parts, protocol=5))
 
 
 def unpack(data: bytes) -> tuple:

@@ -41,7 +41,9 @@ from ._common import (
 WINDOW = 20
 SEED = 5
 #: Raw bytes of packed strings that a bucket holds on average, at most.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 10 << 20
+#: Bytes of text that a map task works on at a time.
+MAP_BYTES = 7 << 20
 #: Documents in the sample that finds common seeds, about.
 SAMPLE_DOCS = 4000
 _TOP = U(1 << 63)
@@ -105,7 +107,7 @@ class _SuperKmers:
 
 def _bundles(window: int, seed: int, n_buckets: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, MAP_BYTES):
             s = _SuperKmers(table, window, seed, common)
             if not len(s.at):
                 continue
@@ -130,7 +132,7 @@ def _bundles(window: int, seed: int, n_buckets: int, common: np.ndarray):
                 put = settled_doc if a == 0 else settled_doc[:0]
                 n = len(put)
                 out[0].append(int(bucket[a]))
-                out[1].append(pack(ids[0][s.doc[rows]], ids[1][s.doc[rows]], s.word[rows].astype(np.int32), s.n_windows[rows].astype(np.int32), text, ids[0][put], ids[1][put], settled_from[:n].astype(np.int32), settled_to[:n].astype(np.int32)))
+                out[1].append(pack(ids[0][s.doc[rows]], ids[1][s.doc[rows]], s.word[rows].astype(np.int32), s.n_windows[rows].astype(np.int32), text, ids[0][put], ids[1][put], settled_from[:n].astype(np.int32), settled_to[:n].astype(np.int32), level=3))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["bucket", "bundle"])
 
     return run
@@ -207,7 +209,7 @@ def _common_seeds(rows: DataFrame, n: int, window: int, seed: int, n_buckets: in
         return np.zeros(0, np.uint64)
 
     def keys(batches):
-        for table in chunks(batches):
+        for table in chunks(batches, MAP_BYTES):
             s = _SuperKmers(table, window, seed, np.zeros(0, np.uint64))
             if len(s.at):
                 k, c = np.unique(s.key[~s.repeats(window)], return_counts=True)
