@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash, substring_dedup
+from . import bpe, chat_format, decontaminate, license_scan, line_dedup, quality_classifier, simhash, substring_dedup
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1,
     "op2_substring_dedup": substring_dedup.op2,
     "op3_simhash": simhash.op3,
+    "op4_bpe": bpe.op4,
+    "op5_decontaminate": decontaminate.op5,
     "op8_line_dedup": line_dedup.op8,
+    "op9_chat_format": chat_format.op9,
+    "op10_quality_classifier": quality_classifier.op10,
 }
 
 ORACLE: dict[str, str] = {}
