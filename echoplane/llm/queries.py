@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, line_dedup, quality_classifier, simhash, substring_dedup
+from . import bpe, chat_format, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash": simhash.op3,
     "op4_bpe": bpe.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op6_quality_rules": quality_rules.op6,
+    "op7_secret_scan": secret_scan.op7,
     "op8_line_dedup": line_dedup.op8,
     "op9_chat_format": chat_format.op9,
     "op10_quality_classifier": quality_classifier.op10,
