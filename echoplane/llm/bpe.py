@@ -41,13 +41,15 @@ from ._common import chunks, cut, pack, shuffle_partitions, unpack
 LEXICON_WORDS = 60_000
 MIN_COUNT = 8
 #: Pretokens that a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
+#: Stands for the rank of a pair that does not merge.
+NO_RANK = 1 << 40
 
 
-def _letters_and_numbers() -> tuple[str, str]:
-    """Character classes of Unicode letters and numbers, as ranges."""
+def _letters_and_numbers(top: int) -> tuple[str, str]:
+    """Character classes of the Unicode letters and numbers below top, as ranges."""
     found: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(0x110000):
+    for c in range(top):
         if (k := unicodedata.category(chr(c))[0]) in found:
             if found[k] and found[k][-1][1] == c - 1:
                 found[k][-1][1] = c
@@ -60,14 +62,29 @@ def _letters_and_numbers() -> tuple[str, str]:
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def pretoken_pattern() -> re.Pattern:
-    """GPT-2's published pattern, in terms of explicit classes."""
-    letter, number = _letters_and_numbers()
+def pretoken_pattern(top: int = 0x110000) -> re.Pattern:
+    """GPT-2's published pattern, in terms of explicit classes, for texts of characters below top."""
+    letter, number = _letters_and_numbers(top)
     return re.compile(
         f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
     )
 
 
+class Splitter:
+    """Splits texts into pretokens. Ranges of astral characters make matching slow, so texts without
+    any are left to a pattern without them, which splits them alike."""
+
+    def __init__(self):
+        self.short, self.full = pretoken_pattern(0x10000).findall, None
+
+    def __call__(self, text: str) -> list[str]:
+        if len(text.encode("utf-16-le", "replace")) == 2 * len(text):
+            return self.short(text)
+        if self.full is None:
+            self.full = pretoken_pattern().findall
+        return self.full(text)
+
+
 def byte_characters() -> dict[int, str]:
     """How byte-level vocabularies write each byte: printable ones as themselves."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -111,6 +128,71 @@ class Vocabulary:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word of at most 64 bytes, as packed uint32, all words at a time: in each
+        round every word merges its pair of least rank."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
+            own = np.flatnonzero((lengths > low) & (lengths <= high))
+            if not len(own):
+                continue
+            raw = b"".join(words[k].ljust(high, b"\0") for k in own.tolist())
+            ids = np.array(self.byte_id, np.int64)[np.frombuffer(raw, np.uint8).reshape(-1, high)]
+            n = lengths[own].copy()
+            ranks, new = self._pairs(ids[:, :-1], ids[:, 1:])
+            ranks[np.arange(high - 1) >= n[:, None] - 1] = NO_RANK
+            live = np.arange(len(own))
+            while len(live):
+                r = ranks[live]
+                at = r.argmin(axis=1)
+                ok = r[np.arange(len(live)), at] < NO_RANK
+                live, at = live[ok], at[ok]
+                if not len(live):
+                    break
+                ids[live, at] = new[live, at]
+                # What follows the merged pair moves up by one place.
+                move = np.arange(high) > at[:, None]
+                take = np.minimum(np.arange(high) + move, high - 1)
+                ids[live] = np.take_along_axis(ids[live], take, axis=1)
+                ranks[live] = np.take_along_axis(ranks[live], np.minimum(take[:, :-1], high - 2), axis=1)
+                new[live] = np.take_along_axis(new[live], np.minimum(take[:, :-1], high - 2), axis=1)
+                n[live] -= 1
+                for side in (at - 1, at):  # the two pairs that the new token is in
+                    fits = (side >= 0) & (side < n[live] - 1)
+                    rows, cols = live[fits], side[fits]
+                    ranks[rows, cols], new[rows, cols] = self._pairs(ids[rows, cols], ids[rows, cols + 1])
+                ranks[live, n[live] - 1] = NO_RANK
+            packed = ids.astype("<u4")
+            for k, row, size in zip(own.tolist(), packed, n.tolist()):
+                out[k] = row[:size].tobytes()
+        return out
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and merged tokens of pairs, NO_RANK for those that do not merge."""
+        if not hasattr(self, "_table"):
+            size = 1 << 19
+            keys, rank, token = np.full(size, -1, np.int64), np.full(size, NO_RANK, np.int64), np.zeros(size, np.int64)
+            for (x, y), (r, t) in self.merges.items():
+                key = x << 32 | y
+                at = (key * 0x9E3779B97F4A7C15 % 2**64) >> 45
+                while keys[at] >= 0:
+                    at = (at + 1) % size
+                keys[at], rank[at], token[at] = key, r, t
+            self._table = keys, rank, token
+        keys, rank, token = self._table
+        key = (a << 32 | b).ravel()
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+        left = np.flatnonzero((keys[at] != key) & (keys[at] >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) % len(keys)
+            left = left[(keys[at[left]] != key[left]) & (keys[at[left]] >= 0)]
+        found = keys[at] == key
+        return np.where(found, rank[at], NO_RANK).reshape(a.shape), token[at].reshape(a.shape)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, for words of any length."""
         import heapq
@@ -228,6 +310,32 @@ class Transducer:
             state = self.targets[arc]
         return out if self.final[state] else -1
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word, or -1, all words a byte further at a time."""
+        if not hasattr(self, "_keys"):
+            first = np.asarray(self.first, np.int64)
+            labels = np.frombuffer(self.data, np.uint8, len(self.targets), self.labels)
+            self._keys = np.repeat(np.arange(self.n_states), np.diff(first)) * 256 + labels
+            self._arrays = np.asarray(self.targets, np.int64), np.asarray(self.outputs, np.int64), np.frombuffer(self.final, np.uint8)
+        targets, outputs, final = self._arrays
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts, text = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        out, state = np.zeros(len(words), np.int64), np.full(len(words), self.root)
+        alive, depth = np.arange(len(words)), 0
+        while len(alive) and len(self._keys):
+            alive = alive[lengths[alive] > depth]
+            key = state[alive] * 256 + text[starts[alive] + depth]
+            arc = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            found = self._keys[arc] == key
+            state[alive[~found]] = -1
+            alive, arc = alive[found], arc[found]
+            out[alive] += outputs[arc]
+            state[alive] = targets[arc]
+            depth += 1
+        if not len(self._keys):
+            state[lengths > 0] = -1
+        return np.where((state >= 0) & (final[state] > 0), out, -1)
+
     def lookup(self, word: bytes) -> list[int] | None:
         if (n := self.number(word)) < 0:
             return None
@@ -245,12 +353,29 @@ class _Words(dict):
         ids = self.lexicon.lookup(raw) if self.lexicon else None
         if ids is None:
             ids = self.vocabulary.merge(raw)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = packed
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[str]) -> None:
+        """Gets ready for words: from the lexicon, or by merging, many at a time."""
+        names = [w for w in words if w not in self]
+        if len(self) + len(names) > CACHE:
+            self.clear()
+            names = list(words)
+        raw = [w.encode("utf-8", "replace") for w in names]
+        short = [k for k, x in enumerate(raw) if len(x) <= 64]
+        names, raw = [names[k] for k in short], [raw[k] for k in short]
+        if not names:
+            return
+        rest = range(len(names))
+        if self.lexicon:
+            n = self.lexicon.numbers(raw)
+            rows = np.asarray(self.lexicon.rows, np.int64)
+            ids = self.lexicon.ids
+            for k in np.flatnonzero(n >= 0).tolist():
+                self[names[k]] = ids[rows[n[k]] : rows[n[k] + 1]].tobytes()
+            rest = np.flatnonzero(n < 0).tolist()
+        for k, packed in zip(rest, self.vocabulary.merge_many([raw[k] for k in rest])):
+            self[names[k]] = packed
 
 
 class Codec:
@@ -259,7 +384,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None = None):
         self.vocabulary = vocabulary
         self.words = _Words(vocabulary, lexicon)
-        self.find = pretoken_pattern().findall
+        self.find = Splitter()
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
@@ -271,13 +396,17 @@ class Codec:
         for k, part in enumerate(self.special.split(text)):
             yield (([], self.vocabulary.special[part]) if k % 2 else (self.find(part), None))
 
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        split = [list(self.pretokens(t)) for t in texts]
+        self.words.learn({w for parts in split for words, _ in parts for w in words})
+        get, out = self.words.__getitem__, []
+        for parts in split:
+            packed = [x for words, special in parts for x in (b"".join(map(get, words)), b"" if special is None else struct.pack("<I", special))]
+            out.append(np.frombuffer(b"".join(packed), "<u4"))
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        parts, get = [], self.words.__getitem__
-        for words, special in self.pretokens(text):
-            parts.append(b"".join(map(get, words)))
-            if special is not None:
-                parts.append(struct.pack("<I", special))
-        return np.frombuffer(b"".join(parts), "<u4")
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -299,7 +428,7 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
     special = tuple(special)
 
     def count(batches):
-        find = pretoken_pattern().findall
+        find = Splitter()
         stop = re.compile("|".join(map(re.escape, special))) if special else None
         for table in chunks(batches, 8 << 20):
             counts: Counter = Counter()
@@ -352,8 +481,8 @@ def encode_corpus(docs: DataFrame, vocabulary_path: str | None = None, keep: tup
 
     def run(batches):
         codec = Codec(held.value, Transducer.mapped(lexicon.value))
-        for table in chunks(batches, 4 << 20, "_text"):
-            ids = [codec.encode(t) for t in table.column("_text").to_pylist()]
+        for table in chunks(batches, 2 << 20, "_text"):
+            ids = codec.encode_batch(table.column("_text").to_pylist())
             decoded = [codec.decode(x.tolist()) for x in ids]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
