@@ -125,7 +125,7 @@ class Shard:
 
     def __init__(self, capacity: int, filter_: CuckooFilter | None = None, refs: dict[bytes, list[int]] | None = None):
         self.refs = refs if refs is not None else {}
-        self.filter = filter_ or CuckooFilter(capacity)
+        self.filter = filter_ or CuckooFilter(2 * capacity)
 
     @staticmethod
     def hashes(keys: np.ndarray) -> np.ndarray:
@@ -147,11 +147,12 @@ class Shard:
                 r[1] = min(r[1], first[i])
         for i in np.flatnonzero(~known).tolist():
             refs[raw[i].tobytes()] = [count[i], first[i]]
-        if not self.filter.insert(h[fresh]):
+        # Past three fifths of its slots a filter is slow to fill: a larger one takes over.
+        if len(self.refs) > 0.6 * self.filter.table.size or not self.filter.insert(h[fresh]):
             self.rebuild()
 
     def rebuild(self) -> None:
-        keys, size = np.frombuffer(b"".join(self.refs), _D), 2 * len(self.refs) + 64
+        keys, size = np.frombuffer(b"".join(self.refs), _D), 3 * len(self.refs) + 64
         while True:
             self.filter = CuckooFilter(size)
             if self.filter.insert(self.hashes(keys)):
