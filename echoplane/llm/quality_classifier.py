@@ -32,7 +32,7 @@ CLASSES = ("clean", "junk", "toxic")
 CLEAN, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 LABELLERS = ("symbols", "capitals", "tables", "repeats", "variety", "prose", "insults", "labels")
 #: Documents that train the scorer, at most.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 4_000
 FEATURES = 1 << 16
 EPOCHS = 60
 EM_ROUNDS = 30
