@@ -7,6 +7,7 @@ outside those six characters.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -60,6 +61,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except OSError:  # another C library: it keeps freed memory as it likes
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory that arrays have left behind back to the system: workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.Table]:
     """The batches gathered into tables of about limit bytes of text."""
     held, size = [], 0
@@ -76,8 +90,10 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
             if size >= limit:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                release()
     if held:
         yield pa.Table.from_batches(held)
+        release()
 
 
 # ---------------------------------------------------------------- words

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, cut, pack, shuffle_partitions, unpack
+from ._common import chunks, cut, pack, release, shuffle_partitions, unpack
 
 #: Most words in the lexicon, and how often a word must occur to be in it.
 LEXICON_WORDS = 60_000
 MIN_COUNT = 8
 #: Pretokens that a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Stands for the rank of a pair that does not merge.
 NO_RANK = 1 << 40
 
@@ -430,7 +430,7 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
     def count(batches):
         find = Splitter()
         stop = re.compile("|".join(map(re.escape, special))) if special else None
-        for table in chunks(batches, 8 << 20):
+        for table in chunks(batches, 4 << 20):
             counts: Counter = Counter()
             for t in table.column("text").to_pylist():
                 for part in stop.split(t) if stop else (t,):
@@ -451,6 +451,8 @@ def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
             for w, c in zip(words.split(b"\xff"), n.tolist()):
                 counts[w] = counts.get(w, 0) + c
         often = [(w, c) for w, c in counts.items() if c >= MIN_COUNT]
+        del counts
+        release()
         return pa.table([pa.array([w for w, _ in often], pa.binary()), pa.array([c for _, c in often], pa.int64())], names=["word", "n"])
 
     return _texts(docs).mapInArrow(count, "bucket long, bundle binary").groupBy("bucket").applyInArrow(total, "word binary, n long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import NULL_ID, U, as_bytes, chunks, cut, mix, pack, shuffle_partitions, unpack
+from ._common import NULL_ID, U, as_bytes, chunks, cut, mix, pack, release, shuffle_partitions, unpack
 
 MIN_CHARS = 10
 #: Bytes of text whose keys a shard holds on average, at most.
@@ -209,6 +209,8 @@ def _drops(table: pa.Table) -> pa.Table:
         ids += [first[lost], drop_id]
         keys += [key[lost], drop_key]
     flat = np.concatenate(keys)
+    del shard, parts
+    release()
     data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
     return pa.table([pa.array(np.concatenate(ids)), data], names=["_id", "key"])
 

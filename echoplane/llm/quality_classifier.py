@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, as_bytes, chunks, cut, mix, slice_hashes, word_spans, words_joined
+from ._common import U, as_bytes, chunks, cut, mix, release, slice_hashes, word_spans, words_joined
 
 CLASSES = ("clean", "junk", "toxic")
 CLEAN, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
@@ -195,7 +195,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
     """(doc_id, pattern): the labellers' votes on each document, as base-4 digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, 4 << 20):
+        for table in chunks(batches, 2 << 20):
             votes = Features(as_bytes(table.column("text").combine_chunks())).votes()
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(_pattern(votes))], names=["doc_id", "pattern"])
 
@@ -229,14 +229,18 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> np.ndarray:
 
     def learn(table: pa.Table) -> pa.Table:
         doc, feature, value, target = [], [], [], []
-        for part in chunks(table.to_batches(), 4 << 20):
+        for part in chunks(table.to_batches(), 1 << 20):
             d, f, v = Features(as_bytes(part.column("text").combine_chunks())).sparse()
             key, back = np.unique(d * FEATURES + f, return_inverse=True)
-            doc.append(key // FEATURES + len(target))
+            doc.append((key // FEATURES + len(target)).astype(np.int32))
             feature.append((key % FEATURES).astype(np.int32))
             value.append(np.bincount(back, v).astype(np.float32))
             target += [by_code[p] for p in part.column("pattern").to_pylist()]
-        weights = train(np.concatenate(doc), np.concatenate(feature), np.concatenate(value), np.array(target))
+        doc, feature, value = (np.concatenate(x) for x in (doc, feature, value))
+        release()
+        weights = train(doc, feature, value, np.array(target))
+        del doc, feature, value
+        release()
         return pa.table([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     row = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "weights binary").first()
@@ -253,7 +257,7 @@ def classify(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for table in chunks(batches, 4 << 20):
+        for table in chunks(batches, 2 << 20):
             p = _probabilities(as_bytes(table.column("text").combine_chunks()), held.value)
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), *(pa.array(p[:, c]) for c in range(3)), pa.array(p[:, CLEAN] >= 0.5)], names=["doc_id", "p_clean", "p_junk", "p_toxic", "keep"])
 
@@ -266,7 +270,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for table in chunks([batch], 4 << 20):
+            for table in chunks([batch], 2 << 20):
                 p = _probabilities(as_bytes(table.column("text").cast(pa.string()).combine_chunks()), held.value)
                 yield from table.filter(pa.array(p[:, CLEAN] >= 0.5)).combine_chunks().to_batches()
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, U, as_bytes, chunks, cut, mix, pack, shuffle_partitions, unpack, word_spans, words_joined
+from ._common import NULL_ID, U, as_bytes, chunks, cut, mix, pack, release, shuffle_partitions, unpack, word_spans, words_joined
 from .components import components
 
 SHINGLE = 3
@@ -200,7 +200,10 @@ def _link(table: pa.Table) -> pa.Table:
         a, b = link_forest(fp[s:e])
         u.append(id_[s:e][a])
         v.append(id_[s:e][b])
-    return pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+    out = pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+    del parts, coords, key, fp
+    release()
+    return out
 
 
 def links(nodes: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import (
-    Rolling, U, as_bytes, chunks, keyed, merge_intervals, mix, pack, runs, shuffle_partitions,
+    Rolling, U, as_bytes, chunks, keyed, merge_intervals, mix, pack, release, runs, shuffle_partitions,
     slice_hashes, slices_equal, unpack, word_spans, words_joined,
 )
 
@@ -184,6 +184,8 @@ def _settle(window: int):
             np.concatenate([word[p] + offset[a], done[2]]).astype(np.int32),
             np.concatenate([word[p] + offset[b - 1] + window, done[3]]).astype(np.int32),
         ]
+        del text, h, by, owner, offset, first, begin, end
+        release()
         return pa.table(cols, names=["_id", "_th", "from", "to"])
 
     return run
