@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import IN_TIME
+from .series import in_time
 
 
 def delay_embed(series: DataFrame, tau: int = 1, m: int = 1) -> DataFrame:
     """The same tau and m for all series. Series of (m - 1) * tau samples or fewer have no rows."""
     if tau < 1 or m < 1:
         raise ValueError("tau and m must be positive")
-    later = [F.lead("x", k * tau).over(IN_TIME) for k in range(1, m)]
+    later = [F.lead("x", k * tau).over(in_time()) for k in range(1, m)]
     out = series.select("sid", "t", F.flatten(F.array("x", *later)).alias("e"))
     return out.where("e is not null")
 

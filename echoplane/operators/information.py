@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .series import IN_TIME
+from .series import in_time
 
 
 def bin_counts(series: DataFrame, method: str = "default") -> DataFrame:
@@ -154,5 +154,5 @@ def ksg(pairs: DataFrame, k: int = 3, keys: tuple[str, ...] = ("sid",)) -> DataF
 
 def ksg_lagged(series: DataFrame, tau: int, k: int = 5) -> DataFrame:
     """(sid, mi) of each series and itself tau later."""
-    pairs = series.select("sid", "t", "x", F.lead("x", tau).over(IN_TIME).alias("y")).where("y is not null")
+    pairs = series.select("sid", "t", "x", F.lead("x", tau).over(in_time()).alias("y")).where("y is not null")
     return ksg(pairs, k)

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from . import embed, recurrence
 from .information import lagged
-from .series import BY_SID, IN_TIME
+from .series import by_sid, in_time
 
-_V = F.col("x")[0]
+def _v():
+    return F.col("x")[0]
 
 
 def acf(series: DataFrame, max_lag: int = 100) -> DataFrame:
     """(sid, lag, acf): sums of x(t) x(t + lag) over the sum of squares, without centring, for lags
     1 .. max_lag - 1."""
-    n = series.groupBy("sid").agg(F.least(F.lit(max_lag), F.count(F.lit(1)).cast("int")).alias("n"), F.sum(_V * _V).alias("s0"))
+    n = series.groupBy("sid").agg(F.least(F.lit(max_lag), F.count(F.lit(1)).cast("int")).alias("n"), F.sum(_v() * _v()).alias("s0"))
     pairs = lagged(series, n.select("sid", (F.col("n") - 1).alias("tau_max")))
     sums = pairs.groupBy("sid", F.col("tau").alias("lag")).agg(F.sum(F.col("x")[0] * F.col("y")[0]).alias("s"))
     return sums.join(n, "sid").select("sid", "lag", F.try_divide("s", "s0").alias("acf"))
@@ -26,7 +27,7 @@ def acf(series: DataFrame, max_lag: int = 100) -> DataFrame:
 
 def acf_delay(series: DataFrame, max_lag: int = 100) -> DataFrame:
     """(sid, tau): the first lag with negative autocorrelation, or one before the first rise, else 1."""
-    prev = F.lag("acf").over(BY_SID.orderBy("lag"))
+    prev = F.lag("acf").over(by_sid().orderBy("lag"))
     c = acf(series, max_lag).withColumn("p", prev)
     hit = F.when(F.col("acf") < 0, F.struct("lag", F.col("lag").alias("tau"))).when((F.col("lag") > 1) & (F.col("acf") > F.col("p")), F.struct("lag", (F.col("lag") - 1).alias("tau")))
     found = c.groupBy("sid").agg(F.min(hit).alias("h"))
@@ -35,7 +36,7 @@ def acf_delay(series: DataFrame, max_lag: int = 100) -> DataFrame:
 
 def acf_zero(series: DataFrame) -> DataFrame:
     """(sid, tau): the first lag with negative autocorrelation of the centred series, else 1."""
-    z = series.select("sid", "t", F.array(_V - F.avg(_V).over(BY_SID)).alias("x"))
+    z = series.select("sid", "t", F.array(_v() - F.avg(_v()).over(by_sid())).alias("x"))
     n = z.groupBy("sid").agg((F.count(F.lit(1)) - 1).cast("int").alias("tau_max"))
     c = lagged(z, n).groupBy("sid", "tau").agg(F.sum(F.col("x")[0] * F.col("y")[0]).alias("s"))
     found = c.where("s < 0").groupBy("sid").agg(F.min("tau").alias("tau"))
@@ -60,7 +61,7 @@ def lyapunov(series: DataFrame, dim: int = 3, tau: int = 1, points: int = 500, h
 def time_irreversibility(series: DataFrame) -> DataFrame:
     """(sid, irreversibility): root mean square, over lags up to min(n / 10, 20), of the difference of
     third moments forwards and backwards; null for under 10 samples."""
-    z = series.select("sid", "t", F.array(_V - F.avg(_V).over(BY_SID)).alias("x"))
+    z = series.select("sid", "t", F.array(_v() - F.avg(_v()).over(by_sid())).alias("x"))
     n = z.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
     lags = n.select("sid", F.when(F.col("n") >= 10, F.least(F.floor(F.col("n") / 10), F.lit(20)) - 1).otherwise(0).cast("int").alias("tau_max"))
     x, y = F.col("x")[0], F.col("y")[0]
@@ -71,7 +72,7 @@ def time_irreversibility(series: DataFrame) -> DataFrame:
 
 def time_irreversibility_cubic(series: DataFrame) -> DataFrame:
     """(sid, irreversibility): the mean cube of increments, over n."""
-    d = F.lead(_V).over(IN_TIME) - _V
+    d = F.lead(_v()).over(in_time()) - _v()
     rows = series.select("sid", (d * d * d).alias("c"))
     return rows.groupBy("sid").agg((F.sum("c") / F.count(F.lit(1))).alias("irreversibility"))
 
@@ -79,7 +80,7 @@ def time_irreversibility_cubic(series: DataFrame) -> DataFrame:
 def sample_entropy(series: DataFrame, m: int = 2, share: float = 0.2) -> DataFrame:
     """(sid, entropy): phi(m) - phi(m + 1), where phi is the mean log share of templates within share
     deviations (largest coordinate, a template matches itself)."""
-    r = series.groupBy("sid").agg((share * F.stddev_pop(_V)).alias("r"))
+    r = series.groupBy("sid").agg((share * F.stddev_pop(_v())).alias("r"))
 
     def phi(k: int, name: str) -> DataFrame:
         e = embed.delay_embed(series, 1, k)
@@ -96,7 +97,7 @@ def correlation_dimension(series: DataFrame, dim: int = 5, top: int = 200, strid
     """(sid, dimension): slope of log correlation on log radius over n_radii radii from a hundredth of
     the deviation to it; every stride-th state i of the first top, with i + 1, i + 1 + stride, ...
     Null for under 100 samples or 50 states."""
-    base = series.groupBy("sid").agg(F.count(F.lit(1)).alias("n_all"), F.stddev_pop(_V).alias("sd"))
+    base = series.groupBy("sid").agg(F.count(F.lit(1)).alias("n_all"), F.stddev_pop(_v()).alias("sd"))
     e = embed.delay_embed_by(series, acf_delay(series).withColumn("m", F.lit(dim)))
     n = recurrence.sizes(e).join(base, "sid").where("n >= 50 and n_all >= 100")
     first = e.join(n.select("sid"), "sid", "left_semi").where(F.col("t") < top)
@@ -120,23 +121,23 @@ def correlation_sum(embedded: DataFrame, radii: list[float], window: int = 10, m
 
 def nonlinearity_index(series: DataFrame) -> DataFrame:
     """(sid, nonlinearity): size of the population skewness of increments."""
-    d = series.select("sid", (F.lead(_V).over(IN_TIME) - _V).alias("d")).where("d is not null")
-    c = d.select("sid", (F.col("d") - F.avg("d").over(BY_SID)).alias("c"))
+    d = series.select("sid", (F.lead(_v()).over(in_time()) - _v()).alias("d")).where("d is not null")
+    c = d.select("sid", (F.col("d") - F.avg("d").over(by_sid())).alias("c"))
     return c.groupBy("sid").agg(F.abs(F.try_divide(F.avg(F.col("c") * F.col("c") * F.col("c")), F.pow(F.avg(F.col("c") * F.col("c")), 1.5))).alias("nonlinearity"))
 
 
 def predictability(series: DataFrame) -> DataFrame:
     """(sid, predictability): mean error of going on in a straight line, over the deviation; null for
     under 20 samples."""
-    guess = 2 * F.lag(_V, 1).over(IN_TIME) - F.lag(_V, 2).over(IN_TIME)
-    rows = series.select("sid", "t", _V.alias("v"), F.abs(_V - guess).alias("e"), F.count(F.lit(1)).over(BY_SID).alias("n"))
+    guess = 2 * F.lag(_v(), 1).over(in_time()) - F.lag(_v(), 2).over(in_time())
+    rows = series.select("sid", "t", _v().alias("v"), F.abs(_v() - guess).alias("e"), F.count(F.lit(1)).over(by_sid()).alias("n"))
     inside = (F.col("t") >= 10) & (F.col("t") <= F.col("n") - 2)
     return rows.groupBy("sid").agg(F.when(F.max("n") >= 20, F.try_divide(F.avg(F.when(inside, F.col("e"))), F.stddev_pop("v"))).alias("predictability"))
 
 
 def chi2_stationarity(series: DataFrame, bins: int = 10) -> DataFrame:
     """(sid, chi2): how far the first half's histogram is from the whole series' share."""
-    rows = series.select("sid", "t", _V.alias("v"), F.min(_V).over(BY_SID).alias("lo"), F.max(_V).over(BY_SID).alias("hi"), F.count(F.lit(1)).over(BY_SID).alias("n"))
+    rows = series.select("sid", "t", _v().alias("v"), F.min(_v()).over(by_sid()).alias("lo"), F.max(_v()).over(by_sid()).alias("hi"), F.count(F.lit(1)).over(by_sid()).alias("n"))
     b = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * bins))).otherwise(bins // 2)
     half = F.ceil(F.col("n") / 2)
     cells = rows.groupBy("sid", "n", b.alias("b")).agg(F.count(F.lit(1)).alias("q"), F.sum((F.col("t") < half).cast("int")).alias("h"))
@@ -148,7 +149,7 @@ def chi2_stationarity(series: DataFrame, bins: int = 10) -> DataFrame:
 
 def periodogram(series: DataFrame) -> DataFrame:
     """(sid, k, f, power): |DFT|^2 / n of the centred series at the positive frequencies k / n."""
-    z = series.select("sid", "t", (_V - F.avg(_V).over(BY_SID)).alias("v"), F.count(F.lit(1)).over(BY_SID).alias("n"))
+    z = series.select("sid", "t", (_v() - F.avg(_v()).over(by_sid())).alias("v"), F.count(F.lit(1)).over(by_sid()).alias("n"))
     ks = z.where("n >= 2").withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
     angle = 2 * math.pi * ((F.col("k").cast("long") * F.col("t")) % F.col("n")) / F.col("n")
     sums = ks.groupBy("sid", "n", "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("c"), F.sum(F.col("v") * F.sin(angle)).alias("s"))

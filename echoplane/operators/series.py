@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_SID = W.partitionBy("sid")
-IN_TIME = BY_SID.orderBy("t")
+def by_sid():
+    return W.partitionBy("sid")
+
+
+def in_time():
+    return by_sid().orderBy("t")
 
 
 def channels(df: DataFrame, dims: int) -> list[Column]:
@@ -18,18 +22,18 @@ def channels(df: DataFrame, dims: int) -> list[Column]:
 
 def zscore(series: DataFrame, dims: int = 1, guard: float = 1e-10) -> DataFrame:
     """(x - mean) / (population deviation + guard), for each series and channel."""
-    z = [(c - F.avg(c).over(BY_SID)) / (F.stddev_pop(c).over(BY_SID) + guard) for c in channels(series, dims)]
+    z = [(c - F.avg(c).over(by_sid())) / (F.stddev_pop(c).over(by_sid()) + guard) for c in channels(series, dims)]
     return series.select("sid", "t", F.array(*z).alias("x"))
 
 
 def detrend(series: DataFrame, dims: int = 1) -> DataFrame:
     """x without its mean."""
-    return series.select("sid", "t", F.array(*(c - F.avg(c).over(BY_SID) for c in channels(series, dims))).alias("x"))
+    return series.select("sid", "t", F.array(*(c - F.avg(c).over(by_sid()) for c in channels(series, dims))).alias("x"))
 
 
 def moving_average(series: DataFrame, window: int, dims: int = 1) -> DataFrame:
     """Means of window samples from each sample on; the tail without a whole window goes."""
-    w = IN_TIME.rowsBetween(0, window - 1)
+    w = in_time().rowsBetween(0, window - 1)
     out = series.select("sid", "t", F.array(*(F.avg(c).over(w) for c in channels(series, dims))).alias("x"), F.count(F.lit(1)).over(w).alias("_n"))
     return out.where(F.col("_n") == window).drop("_n")
 
@@ -54,7 +58,7 @@ def wrap_phase(v: Column) -> Column:
 
 def fill_linear(series: DataFrame, dims: int = 1) -> DataFrame:
     """Missing values on the line between their neighbours; ends take the nearest value."""
-    back, ahead = IN_TIME.rowsBetween(W.unboundedPreceding, 0), IN_TIME.rowsBetween(0, W.unboundedFollowing)
+    back, ahead = in_time().rowsBetween(W.unboundedPreceding, 0), in_time().rowsBetween(0, W.unboundedFollowing)
     out = []
     for c in channels(series, dims):
         v = F.when(~F.isnan(c), c)
@@ -73,7 +77,7 @@ def order_parameter(series: DataFrame) -> DataFrame:
 def sorted_with_indices(series: DataFrame) -> DataFrame:
     """(sid, rank, t, v): the first channel's values in order, and where each came from."""
     v = F.col("x")[0]
-    w = BY_SID.orderBy(v, "t")
+    w = by_sid().orderBy(v, "t")
     return series.select("sid", (F.row_number().over(w) - 1).alias("rank"), "t", v.alias("v"))
 
 
@@ -87,7 +91,7 @@ def matched_ends(series: DataFrame, head: float = 0.01, tail: float = 0.1, point
     its last tenth whose next `points` samples differ least; ties take the earliest start and end."""
     z = detrend(series).select("sid", "t", F.col("x")[0].alias("v"))
     n = series.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    near = z.withColumn("run", F.collect_list("v").over(IN_TIME.rowsBetween(0, points - 1))).join(n, "sid")
+    near = z.withColumn("run", F.collect_list("v").over(in_time().rowsBetween(0, points - 1))).join(n, "sid")
     near = near.where(F.size("run") == points)
     starts = near.where(F.col("t") <= F.floor(F.col("n") * head)).select("sid", F.col("t").alias("a"), F.col("run").alias("r1"))
     ends = near.where(F.col("t") >= F.floor(F.col("n") * (1 - tail))).select("sid", F.col("t").alias("b"), F.col("run").alias("r2"))

@@ -142,14 +142,15 @@ def silhouette(points: DataFrame, block: int = 64) -> DataFrame:
     return per.agg(F.avg(s).alias("score"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, leave_one_out: bool = False) -> DataFrame:
     """(id, yhat): the most frequent label of the k nearest training points (ties: nearest id first,
-    least label). The training set is dealt to the tasks in blocks, which keep their k best."""
+    least label); leave_one_out keeps a point from voting for itself. The training set is dealt to
+    the tasks in blocks, which keep their k best."""
     blocks = 16
     a = test.select("id", F.col("features").alias("fa"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     b = train.select(F.col("id").alias("tid"), "label", F.col("features").alias("fb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     d = F.sqrt(F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = a.join(b, "b").select("id", "tid", "label", "b", d.alias("d"))
+    near = a.join(b, "b").where("id <> tid" if leave_one_out else "true").select("id", "tid", "label", "b", d.alias("d"))
     best = near.withColumn("r", F.row_number().over(W.partitionBy("id", "b").orderBy("d", "tid"))).where(F.col("r") <= k)
     best = best.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "tid"))).where(F.col("r") <= k)
     votes = best.groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))

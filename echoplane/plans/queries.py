@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import embed, information, lines, measures, nonlinear, parameters, recurrence, series, stats, windows
+from ..functions import kernels, special
+from ..ml import benchmarks
+from ..operators import embed, features, generate, information, lines, measures, nonlinear, nulls, parameters, recurrence, series, stats, windows
 from ..sources import series as sources
 from . import oracles as o
 from .oracles import build, r
@@ -514,3 +516,240 @@ def _(spark, d):
 @query("henon_orbit", f"WITH RECURSIVE h(t, x, y) AS (SELECT 0::BIGINT, 0.1::DOUBLE, 0.1::DOUBLE UNION ALL SELECT t + 1, 1 - 1.4::DOUBLE * x * x + y, 0.3::DOUBLE * x FROM h WHERE t < 24) SELECT t, {r('x', 'x')}, {r('y', 'y')} FROM h")
 def _(spark, d):
     return spark.range(1).select(F.posexplode(F.expr(nonlinear.henon(25))).alias("t", "p")).select("t", "p.x", "p.y")
+
+
+# ------------------------------------------------------------------ scores, tests and features
+
+
+@query("regime_thresholds", "SELECT system, param, round(threshold::DOUBLE, 6) + 0.0 AS threshold, below, above FROM (VALUES ('rossler', 'c', 4.2, 'periodic', 'chaotic'), ('lorenz', 'rho', 24.74, 'fixed_point', 'chaotic'), ('henon', 'a', 1.06, 'periodic', 'chaotic'), ('chua', 'alpha', 8.8, 'periodic', 'chaotic'), ('kuramoto', 'K', sqrt(8 / pi()), 'incoherent', 'synchronized')) t(system, param, threshold, below, above)")
+def _(spark, d):
+    return generate.regime_table(spark)
+
+
+def _points(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+
+
+_PT = {
+    "pt": "SELECT vec_id AS id, label, embedding::DOUBLE[] AS f FROM embeddings",
+    "lp": "SELECT id, label, unnest(range(1, len(f) + 1)) AS pos, unnest(f) AS v FROM pt",
+    "ce": "SELECT label, pos, avg(v) AS c, count(*) AS n FROM lp GROUP BY label, pos",
+    "nbm": "SELECT label, pos, avg(v) AS m, var_pop(v) + 1e-9 * (SELECT max(s) FROM (SELECT var_pop(v) AS s FROM lp GROUP BY pos)) AS s2, count(*)::DOUBLE / (SELECT count(*) FROM pt) AS prior FROM lp GROUP BY label, pos",
+    "nbp": "SELECT id, label AS yhat FROM (SELECT lp.id, m.label, sum(-0.5 * ln(2 * pi() * s2) - (v - m) * (v - m) / (2 * s2)) + max(ln(prior)) AS l FROM lp JOIN nbm m USING (pos) GROUP BY lp.id, m.label) QUALIFY row_number() OVER (PARTITION BY id ORDER BY l DESC, label) = 1",
+}
+
+
+@query("knn_predict", build("SELECT id, label::BIGINT AS yhat FROM (SELECT id, label, count(*) AS c FROM (SELECT a.id, b.label FROM pt a JOIN pt b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) <= 5) GROUP BY id, label) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, label) = 1", pt=_PT["pt"]))
+def _(spark, d):
+    p = _points(spark, d)
+    return stats.knn_predict(p, p, 5, leave_one_out=True)
+
+
+def _nb(spark, d):
+    p = _points(spark, d)
+    return stats.gaussian_nb_predict(p, p).join(p.select("id", F.col("label").alias("y")), "id")
+
+
+@query("gaussian_nb_predict", build("SELECT id, yhat::BIGINT AS yhat, label::BIGINT AS y FROM nbp JOIN pt USING (id)", **_PT))
+def _(spark, d):
+    return _nb(spark, d)
+
+
+@query("confusion_matrix", build("SELECT label::BIGINT AS y, yhat::BIGINT AS yhat, count(*) AS n FROM nbp JOIN pt USING (id) GROUP BY 1, 2", **_PT))
+def _(spark, d):
+    return stats.confusion(_nb(spark, d))
+
+
+@query("accuracy_f1", build(f"SELECT {r('sum(tp) / sum(n)', 'accuracy')}, {r('avg(CASE WHEN n > 0 THEN tp / n END)', 'balanced_accuracy')}, {r('avg(2 * tp / (n + k))', 'f1_macro')} FROM (SELECT c, sum(CASE WHEN label = c THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN yhat = c THEN 1 ELSE 0 END) AS k, sum(CASE WHEN label = c AND yhat = c THEN 1 ELSE 0 END) AS tp FROM nbp JOIN pt USING (id) CROSS JOIN (SELECT DISTINCT label AS c FROM pt) GROUP BY c)", **_PT))
+def _(spark, d):
+    return stats.classification_scores(_nb(spark, d))
+
+
+@query("roc_auc", build(f"SELECT {r('(sum(CASE WHEN label = 0 THEN rk END) - max(p) * (max(p) + 1) / 2.0) / (max(p) * (max(n) - max(p)))', 'auc')} FROM (SELECT label, rank() OVER (ORDER BY f[1]) + (count(*) OVER (PARTITION BY f[1]) - 1) / 2.0 AS rk, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) OVER () AS p, count(*) OVER () AS n FROM pt)", pt=_PT["pt"]))
+def _(spark, d):
+    return stats.roc_auc(_points(spark, d).withColumn("s", F.col("features")[0]), "s", F.col("label") == 0)
+
+
+@query("silhouette", build(f"SELECT {r('avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END)', 'score')} FROM (SELECT id, min(CASE WHEN la = lb THEN m END) AS own, min(CASE WHEN la <> lb THEN m END) AS other FROM (SELECT a.id, a.label AS la, b.label AS lb, avg(list_distance(a.f, b.f)) AS m FROM pt a JOIN pt b ON a.id <> b.id GROUP BY 1, 2, 3) GROUP BY id)", pt=_PT["pt"]))
+def _(spark, d):
+    return stats.silhouette(_points(spark, d), 8)
+
+
+_DISP = {**{k: _PT[k] for k in ("pt", "lp", "ce")}, "mu": "SELECT pos, avg(v) AS m FROM lp GROUP BY pos"}
+
+
+@query("calinski_harabasz", build(f"SELECT {r('(b / (k - 1)) / (w / (n - k))', 'score')} FROM (SELECT sum(power(v - c, 2)) AS w FROM lp JOIN ce USING (label, pos)), (SELECT sum(n * power(c - m, 2)) AS b FROM ce JOIN mu USING (pos)), (SELECT count(*) AS n, count(DISTINCT label) AS k FROM pt)", **_DISP))
+def _(spark, d):
+    return stats.calinski_harabasz(_points(spark, d))
+
+
+@query("davies_bouldin", build(f"SELECT {r('avg(q)', 'score')} FROM (SELECT la, max((s1.s + s2.s) / g) AS q FROM (SELECT a.label AS la, b.label AS lb, sqrt(sum(power(a.c - b.c, 2))) AS g FROM ce a JOIN ce b ON a.pos = b.pos AND a.label <> b.label GROUP BY 1, 2) JOIN sp s1 ON s1.label = la JOIN sp s2 ON s2.label = lb GROUP BY la)", **{k: _PT[k] for k in ("pt", "lp", "ce")}, sp="SELECT label, avg(e) AS s FROM (SELECT label, id, sqrt(sum(power(v - c, 2))) AS e FROM lp JOIN ce USING (label, pos) GROUP BY 1, 2) GROUP BY label"))
+def _(spark, d):
+    return stats.davies_bouldin(_points(spark, d))
+
+
+@query("adjusted_rand", build(f"SELECT {r('(s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t)', 'ari')} FROM (SELECT sum(n * (n - 1) / 2.0) AS s FROM cl), (SELECT sum(n * (n - 1) / 2.0) AS sa FROM (SELECT sum(n) AS n FROM cl GROUP BY a)), (SELECT sum(n * (n - 1) / 2.0) AS sb FROM (SELECT sum(n) AS n FROM cl GROUP BY b)), (SELECT sum(n) * (sum(n) - 1) / 2.0 AS t FROM cl)", cl="SELECT label AS a, floor(embedding[1]::DOUBLE * 4) AS b, count(*) AS n FROM embeddings GROUP BY 1, 2"))
+def _(spark, d):
+    return stats.adjusted_rand(_points(spark, d).select("label", F.floor(F.col("features")[0] * 4).alias("b")), "label", "b")
+
+
+_TESTS = {
+    "um": "SELECT user_id, event_type, avg(value) AS value FROM events GROUP BY 1, 2",
+    "re": "SELECT event_type, median(value) AS value FROM events GROUP BY 1",
+    "pv": "SELECT event_type, (sum(CASE WHEN um.value >= re.value THEN 1 ELSE 0 END) + 1)::DOUBLE / (count(*) + 1) AS p FROM re JOIN um USING (event_type) GROUP BY 1",
+}
+
+
+def _real_null(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("value")), e.groupBy("user_id", "event_type").agg(F.avg("value").alias("value"))
+
+
+def _p(spark, d):
+    real, null = _real_null(spark, d)
+    return stats.rank_p_value(real, null, ("event_type",))
+
+
+@query("rank_p_value", build(f"SELECT event_type, {r('p', 'p')} FROM pv", **_TESTS))
+def _(spark, d):
+    return _p(spark, d)
+
+
+@query("benjamini_hochberg", build(f"SELECT event_type, {r('p', 'p')}, {r('q', 'p_adjusted')}, q <= 0.05 AS significant FROM (SELECT event_type, p, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pv))", **_TESTS))
+def _(spark, d):
+    return stats.benjamini_hochberg(_p(spark, d))
+
+
+@query("bonferroni", build(f"SELECT event_type, {r('p', 'p')}, {r('least(1.0, p * count(*) OVER ())', 'p_adjusted')}, least(1.0, p * count(*) OVER ()) <= 0.05 AS significant FROM pv", **_TESTS))
+def _(spark, d):
+    return stats.bonferroni(_p(spark, d))
+
+
+@query("cohens_d", build(f"SELECT event_type, {r('(re.value - m) / greatest(s, 1e-12)', 'd')} FROM re JOIN (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM um GROUP BY 1) USING (event_type)", **_TESTS))
+def _(spark, d):
+    return stats.cohens_d(*_real_null(spark, d), ("event_type",))
+
+
+@query("wilcoxon_w", build(
+    f"""SELECT sid, {r('coalesce(least(up, down), 0)', 'statistic')}, {r('CASE WHEN up IS NULL THEN 0 ELSE 1 - 2 * least(up, down) / (n * (n + 1) / 2.0) END', 'effect_size')} FROM (SELECT sid, count(*) AS n FROM wd GROUP BY sid) LEFT JOIN
+    (SELECT sid, sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN k ELSE 0 END) AS down FROM (SELECT sid, d, rank() OVER (PARTITION BY sid ORDER BY abs(d)) + (count(*) OVER (PARTITION BY sid, abs(d)) - 1) / 2.0 AS k FROM wd WHERE d <> 0) GROUP BY sid) USING (sid)""",
+    "ev", wd="SELECT sid, v - w AS d FROM (SELECT sid, v, lead(v) OVER (PARTITION BY sid ORDER BY t) AS w FROM ev) WHERE w IS NOT NULL"))
+def _(spark, d):
+    ev = _flat(sources.ev_user(spark, d), "v")
+    nxt = ev.select("sid", "v", F.lead("v").over(series.in_time()).alias("w")).where("w is not null")
+    return stats.wilcoxon(nxt, "v", "w", ("sid",))
+
+
+_FEATURES = tuple(m for m in measures.MEASURES)
+
+
+@query("feature_table", f"WITH m AS ({_MEASURES}), wm AS ({_WINDOWED}) SELECT m.sid AS id, {', '.join('m.' + c for c in _FEATURES)}, {', '.join(f'w.win_{c}__mean, w.win_{c}__median' for c in _FEATURES)}, 1::BIGINT AS tau, 2::BIGINT AS m, 0.5::DOUBLE AS eps FROM m LEFT JOIN (SELECT sid, {', '.join(r(f'avg({c})', f'win_{c}__mean') + ', ' + r(f'median({c})', f'win_{c}__median') for c in _FEATURES)} FROM wm GROUP BY sid) w USING (sid)")
+def _(spark, d):
+    return features.feature_table(sources.ev_user(spark, d), o.WINDOW, o.STEP, ("mean", "median"), tau=1, m=2, eps=0.5)
+
+
+# ------------------------------------------------------------------ kernels: rows only, no SQL form
+
+
+def _made(kind: str, legacy: bool):
+    return lambda spark, d: generate.surrogates(sources.ev_user(spark, d), kind, 1, legacy=legacy)
+
+
+for _kind in kernels.SURROGATES:
+    query(f"surrogate_{_kind.lower()}")(_made(_kind, False))
+for _kind in kernels.LEGACY_SURROGATES:
+    query(f"surrogate_legacy_{_kind.lower()}")(_made(_kind, True))
+
+for _system in ("rossler", "lorenz", "chua", "kuramoto", "henon", "sine", "white_noise"):
+    query(f"simulate_{_system}")(lambda spark, d, s=_system: generate.simulate(spark.range(2).select(F.col("id").alias("sid")), s, 200, tmax=2000))
+
+
+@query("pink_filter")
+def _(spark, d):
+    return generate.pink_filter(sources.ev_user(spark, d))
+
+
+@query("noise_colour_welch")
+def _(spark, d):
+    return generate.is_pink(sources.ev_user(spark, d))
+
+
+@query("tau_polynomial")
+def _(spark, d):
+    return generate.delay_polynomial(_z(spark, d))
+
+
+@query("fill_pchip")
+def _(spark, d):
+    gaps = sources.ev_user(spark, d).select("sid", "t", F.array(F.when(F.col("t") % 4 != 1, F.col("x")[0])).alias("x"))
+    return generate.fill_pchip(gaps)
+
+
+@query("window_sensitivity")
+def _(spark, d):
+    return generate.window_sensitivity(_z(spark, d), "determinism", [15, 25], 200, tau=1, m=2, eps=0.5)
+
+
+@query("chi2_p_value")
+def _(spark, d):
+    return nonlinear.chi2_stationarity(sources.ev_user(spark, d)).withColumn("p", special.chi2_p_value(F.col("chi2"), F.lit(9)))
+
+
+def _vectors(spark, d) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sid"), "label")
+    table = features.feature_table(sources.emb(spark, d), 20, 10, ("mean",), labels=labels, tau=1, m=2, eps=0.5)
+    return features.feature_vectors(table.select("id", "label", *measures.MEASURES))[0]
+
+
+@query("nested_cv")
+def _(spark, d):
+    return benchmarks.nested_cv(_vectors(spark, d), "nb", 8, select=False, tune=True, inner_repeats=2)
+
+
+@query("quick_benchmark")
+def _(spark, d):
+    return benchmarks.quick_benchmark(_vectors(spark, d), ("knn", "logreg", "lda", "nb"))
+
+
+@query("model_comparison")
+def _(spark, d):
+    v = _vectors(spark, d)
+    cvs = benchmarks.nested_cv(v, "nb", 8, select=False).unionByName(benchmarks.nested_cv(v, "lda", 8, select=False))
+    return benchmarks.pairwise_tests(cvs)
+
+
+@query("permutation_null")
+def _(spark, d):
+    return benchmarks.permutation_null(_vectors(spark, d), "nb", 10)
+
+
+@query("permutation_importance")
+def _(spark, d):
+    return benchmarks.permutation_importance(_vectors(spark, d), list(measures.MEASURES), "nb", 5)
+
+
+@query("cluster_sweep")
+def _(spark, d):
+    return benchmarks.cluster_sweep(_vectors(spark, d), ("kmeans", "gmm"), range(2, 5))
+
+
+@query("cluster_stability")
+def _(spark, d):
+    return benchmarks.cluster_stability(_vectors(spark, d), "kmeans", 3, 10)
+
+
+@query("surrogate_null")
+def _(spark, d):
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sid"), "label")
+    return nulls.surrogate_null(sources.emb(spark, d), labels, ("FT",), 2, "nb", 4, window=20, step=20, stats=("mean",), tau=1, m=2, eps=0.5)
+
+
+@query("surrogate_cluster_null")
+def _(spark, d):
+    return nulls.surrogate_cluster_null(sources.emb(spark, d), ("AAFT",), 2, ks=range(2, 4), window=20, step=20, stats=("mean",), tau=1, m=2, eps=0.5)
+
+
+@query("surrogate_validation")
+def _(spark, d):
+    return nulls.validation(sources.ev_user(spark, d), ("FT", "IAAFT"), 2)
