@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RqaConfig
+from ..plans.materialise import materialised
 from . import embed, information, lines, measures, parameters, recurrence, series as s, windows
 
 
@@ -13,15 +14,16 @@ def parameters_of(series: DataFrame, cfg: RqaConfig = RqaConfig(), dims: int = 1
     """(sid, tau, m, eps) of normalised series: searched, or as given; group puts one set, made of all
     series' own, in place of each."""
     sids = series.select("sid").distinct()
-    t = sids.withColumn("tau", F.lit(tau)) if tau else information.delay(series, dims, cfg.mi_method)
+    # What is searched is a row a series, and used at every later stage: it is worked out once.
+    t = sids.withColumn("tau", F.lit(tau)) if tau else materialised(information.delay(series, dims, cfg.mi_method))
     if m:
         p = t.withColumn("m", F.lit(m))
     else:
-        p = t.join(parameters.embedding_dimension(series, tau or t, cfg, dims), "sid")
+        p = materialised(t.join(parameters.embedding_dimension(series, tau or t, cfg, dims), "sid"))
     if eps:
         p = p.withColumn("eps", F.lit(float(eps)))
     else:
-        p = p.join(parameters.radius(embed.delay_embed_by(series, p), cfg, sids=sids), "sid")
+        p = materialised(p.join(parameters.radius(embed.delay_embed_by(series, p), cfg, sids=sids), "sid"))
     if group:
         p = sids.crossJoin(F.broadcast(parameters.group_parameters(p)))
     return p.select("sid", F.col("tau").cast("int").alias("tau"), F.col("m").cast("int").alias("m"), "eps")

@@ -53,43 +53,70 @@ def _steps(value, lo: float, hi: float, n: int):
 
 def fnn_curve(series: DataFrame, tau: int | DataFrame, m: int, cfg: RqaConfig = RqaConfig(), dims: int = 1) -> DataFrame:
     """(sid, r_index, fnn) along the whole grid of thresholds."""
-    near = neighbour_ratios(series, tau, m, dims).join(deviation(series), "sid")
+    return _curve(neighbour_ratios(series, tau, m, dims).join(deviation(series), "sid"), cfg, ("sid",))
+
+
+def _curve(near: DataFrame, cfg: RqaConfig, keys: tuple[str, ...]) -> DataFrame:
     grid = lambda v: _steps(v, cfg.rmin, cfg.rmax, cfg.rdiv)
     # Near at r if r < sd / d_m; false at r if besides r < d_next / d_m.
     n_near, n_false = grid(F.col("sd") / F.col("d_m")), grid(F.least(F.col("sd") / F.col("d_m"), F.col("d_next") / F.col("d_m")))
-    marks = near.select("sid", F.explode(F.array(F.struct(n_near.alias("k"), F.lit(1).alias("near"), F.lit(0).alias("false")), F.struct(n_false.alias("k"), F.lit(0).alias("near"), F.lit(1).alias("false")))).alias("s"))
-    counts = marks.groupBy("sid", "s.k").agg(F.sum("s.near").alias("near"), F.sum("s.false").alias("false"))
-    grid_rows = near.select("sid").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(cfg.rdiv))))
-    every = grid_rows.join(counts, ["sid", "k"], "left")
-    up = W.partitionBy("sid").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
-    total = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0))
-    return every.select("sid", (F.col("k") - 1).alias("r_index"), (total("false") / (total("near") + GUARD)).alias("fnn"))
+    marks = near.select(*keys, F.explode(F.array(F.struct(n_near.alias("k"), F.lit(1).alias("near"), F.lit(0).alias("false")), F.struct(n_false.alias("k"), F.lit(0).alias("near"), F.lit(1).alias("false")))).alias("s"))
+    counts = marks.groupBy(*keys, "s.k").agg(F.sum("s.near").alias("near"), F.sum("s.false").alias("false"))
+    # One array of counts a curve, summed from its end; then a row for each step.
+    held = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("near", "false")))).alias("c"))
+    at = lambda k, f: F.coalesce(F.col("c")[k][f], F.lit(0))
+    rows = held.select(*keys, "c", F.explode(F.sequence(F.lit(1), F.lit(cfg.rdiv))).alias("k")).select(*keys, "k", at(F.col("k"), "near").alias("near"), at(F.col("k"), "false").alias("false"))
+    up = W.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
+    return rows.select(*keys, (F.col("k") - 1).alias("r_index"), (F.sum("false").over(up) / (F.sum("near").over(up) + GUARD)).alias("fnn"))
+
+
+def neighbour_ratios_upto(series: DataFrame, tau: int | DataFrame, top: int, dims: int = 1) -> DataFrame:
+    """(sid, t, m, d_m, d_next) for m = 1 .. top, from one pass over pairs of samples.
+
+    The squared distance of two states in q dimensions is a sum of q squared distances of samples
+    along a diagonal, tau apart: a sliding sum in windows of (sid, i - j, i mod tau). The nearest
+    neighbour carries its distance in one dimension more along."""
+    s = series.join(tau.select("sid", "tau"), "sid") if isinstance(tau, DataFrame) else series.withColumn("tau", F.lit(tau))
+    a = s.select("sid", "tau", F.col("t").alias("i"), F.col("x").alias("xa"))
+    b = series.select("sid", F.col("t").alias("j"), F.col("x").alias("xb"))
+    gap = [F.col("xa")[k] - F.col("xb")[k] for k in range(dims)]
+    pairs = a.join(b, "sid").where("i <> j").select("sid", "tau", "i", "j", sum((g * g for g in gap[1:]), gap[0] * gap[0]).alias("dd"))
+    w = W.partitionBy("sid", F.col("i") - F.col("j"), F.pmod("i", "tau")).orderBy("i")
+    d = [F.when(F.count(F.lit(1)).over(w.rowsBetween(0, q - 1)) == q, F.sqrt(F.sum("dd").over(w.rowsBetween(0, q - 1)))).alias(f"d{q}") for q in range(1, top + 2)]
+    best = [F.min(F.when(F.col(f"d{m}").isNotNull(), F.struct(F.col(f"d{m}").alias("d"), "j", F.col(f"d{m + 1}").alias("n")))) for m in range(1, top + 1)]
+    near = pairs.select("sid", "i", "j", *d).groupBy("sid", "i").agg(*(x.alias(f"b{m}") for m, x in enumerate(best, 1)))
+    long = near.select("sid", F.col("i").alias("t"), F.posexplode(F.array(*(f"b{m}" for m in range(1, top + 1)))).alias("m", "b"))
+    return long.where("b.n is not null").select("sid", "t", (F.col("m") + 1).alias("m"), (F.col("b.d") + GUARD).alias("d_m"), F.col("b.n").alias("d_next"))
+
+
+def fnn_zero_upto(series: DataFrame, tau: int | DataFrame, top: int, cfg: RqaConfig = RqaConfig(), dims: int = 1) -> DataFrame:
+    """(sid, m, r0) for m = 1 .. top: the least threshold whose false share is under delta, or -1 where
+    there is none or the series has (m + 1) * tau samples or fewer."""
+    curve = _curve(neighbour_ratios_upto(series, tau, top, dims).join(deviation(series), "sid"), cfg, ("sid", "m"))
+    step = (cfg.rmax - cfg.rmin) / (cfg.rdiv - 1)
+    hit = curve.where(F.col("fnn") < cfg.delta).groupBy("sid", "m").agg(F.min("r_index").alias("k"))
+    n = _lengths(series, tau).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(top))))
+    r0 = F.when((F.col("n") > (F.col("m") + 1) * F.col("tau")) & F.col("k").isNotNull(), cfg.rmin + F.col("k") * step).otherwise(-1.0)
+    return n.join(hit, ["sid", "m"], "left").select("sid", "m", r0.alias("r0"))
 
 
 def fnn_zero(series: DataFrame, tau: int | DataFrame, m: int, cfg: RqaConfig = RqaConfig(), dims: int = 1) -> DataFrame:
-    """(sid, m, r0): the least threshold whose false share is under delta, or -1 where there is none
-    or the series has (m + 1) * tau samples or fewer."""
-    curve = fnn_curve(series, tau, m, cfg, dims)
-    step = (cfg.rmax - cfg.rmin) / (cfg.rdiv - 1)
-    hit = curve.where(F.col("fnn") < cfg.delta).groupBy("sid").agg(F.min("r_index").alias("k"))
-    n = series.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    n = n.join(tau.select("sid", "tau"), "sid") if isinstance(tau, DataFrame) else n.withColumn("tau", F.lit(tau))
-    r0 = F.when((F.col("n") > (m + 1) * F.col("tau")) & F.col("k").isNotNull(), cfg.rmin + F.col("k") * step).otherwise(-1.0)
-    return n.join(hit, "sid", "left").select("sid", F.lit(m).alias("m"), r0.alias("r0"))
+    """(sid, m, r0) for one m."""
+    return fnn_zero_upto(series, tau, m, cfg, dims).where(F.col("m") == m)
+
+
+def _lengths(series: DataFrame, tau: int | DataFrame) -> DataFrame:
+    n = series.groupBy("sid").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return n.join(tau.select("sid", "tau"), "sid") if isinstance(tau, DataFrame) else n.withColumn("tau", F.lit(tau))
 
 
 def embedding_dimension(series: DataFrame, tau: int | DataFrame, cfg: RqaConfig = RqaConfig(), dims: int = 1) -> DataFrame:
     """(sid, m): the largest q + 1 whose threshold drops by more than bound from q to q + 1 (with
     both found, q up to mmax), else mmax."""
     top = min((3 * dims + 11) // 2, 10)
-    zero = None
-    for m in range(1, top + 2):
-        z = fnn_zero(series, tau, m, cfg, dims)
-        zero = z if zero is None else zero.unionByName(z)
-    n = series.groupBy("sid").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    n = n.join(tau.select("sid", "tau"), "sid") if isinstance(tau, DataFrame) else n.withColumn("tau", F.lit(tau))
+    zero = fnn_zero_upto(series, tau, top + 1, cfg, dims)
     short = F.greatest(F.lit(1), F.floor((F.col("n") - F.col("tau")) / F.col("tau")).cast("int"))
-    n = n.select("sid", F.when(F.col("n") <= (top + 1) * F.col("tau"), F.least(F.lit(top), short)).otherwise(top).alias("mmax"))
+    n = _lengths(series, tau).select("sid", F.when(F.col("n") <= (top + 1) * F.col("tau"), F.least(F.lit(top), short)).otherwise(top).alias("mmax"))
     after = F.lead("r0").over(W.partitionBy("sid").orderBy("m"))
     drops = zero.withColumn("next", after).join(n, "sid")
     ok = (F.col("r0") != -1) & (F.col("next") != -1) & (F.col("r0") - F.col("next") > cfg.bound) & (F.col("m") <= F.col("mmax")) & ((F.col("m") < F.col("mmax")) | (F.col("mmax") > 1))
