@@ -276,7 +276,7 @@ FLOWS = {
 STARTS = {"rossler": (1.0, 1.0, 1.0), "lorenz": (1.0, 1.0, 1.0), "chua": (0.1, 0.1, 0.1)}
 
 
-def integrate(f, start: np.ndarray, times: np.ndarray, substep: float = 0.0025) -> np.ndarray:
+def integrate(f, start: np.ndarray, times: np.ndarray, substep: float = 0.001) -> np.ndarray:
     """States (len(times), batch, dims) by classical Runge-Kutta steps of at most substep."""
     out, s = [start], start
     for t0, t1 in zip(times[:-1], times[1:]):
