@@ -126,6 +126,20 @@ def pairwise_tests(cvs: DataFrame, alpha: float = 0.05) -> DataFrame:
     return stats.benjamini_hochberg(tested, alpha, value="p_value")
 
 
+def integrated_benchmark(features: DataFrame, names: tuple[str, ...] = tuple(m.MODELS), outer: int = 50, alpha: float = 0.05, seed: int = 42, **kw) -> dict:
+    """Nested cross-validation of all models on the same outer splits: "scores" (its rows),
+    "comparison", "tests" (pairwise) and "best", the leading model fitted to all rows."""
+    cvs = None
+    for name in names:
+        one = nested_cv(features, name, outer, inner_splits=2, inner_repeats=kw.get("inner_repeats", 5), select=kw.get("select", True), tune=kw.get("tune", True), seed=seed, groups=kw.get("groups", False))
+        cvs = one if cvs is None else cvs.unionByName(one)
+    cvs = cvs.persist()
+    table = comparison(cvs)
+    t, leader = Table(features), table.first().model
+    best = m.make(leader).fit(t.x, t.y, np.random.default_rng(seed))
+    return {"scores": cvs, "comparison": table, "tests": pairwise_tests(cvs, alpha), "best": best, "model": leader}
+
+
 def permutation_null(features: DataFrame, model: str = "knn", n: int = 100, seed: int = 42) -> DataFrame:
     """(permutation, accuracy, roc_auc) with labels in random order."""
     t = Table(features)

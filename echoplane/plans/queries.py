@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels, special
 from ..ml import benchmarks
-from ..operators import embed, features, generate, information, lines, measures, nonlinear, nulls, parameters, recurrence, series, stats, windows
+from ..operators import embed, features, generate, information, lines, measures, nonlinear, nulls, parameters, plotdata, recurrence, series, stats, windows
 from ..sources import series as sources
 from . import oracles as o
 from .oracles import build, r
@@ -273,6 +273,21 @@ def _mode_sql(m: str) -> str:
     return f"(SELECT sid, min(v) AS v FROM (SELECT sid, v, rank() OVER (PARTITION BY sid ORDER BY c DESC) AS k FROM (SELECT sid, {m}::DOUBLE AS v, count(*) AS c FROM wm GROUP BY 1, 2)) WHERE k = 1 GROUP BY sid)"
 
 
+_LEGACY_WIN = {k: v.replace(f", {o.STEP})", ", 1)") for k, v in o.WINDOW_CTES.items()} | {"wl": f"SELECT sid, s, len, cnt FROM wd UNION ALL SELECT sid, s, {o.WINDOW}, 1 FROM win"}
+
+
+def _legacy_lines(hist: str) -> str:
+    """Line statistics with the older guard, and the longest line of two points less than the window."""
+    return f"(SELECT a.*, b.mx FROM ({o.line_stats(hist, 'sid, s', guard='1e-7').replace(' AS mx', ' AS mx0')}) a JOIN (SELECT sid, s, coalesce(max(CASE WHEN len <= {o.WINDOW - 2} THEN len END), 1) AS mx FROM {hist} GROUP BY sid, s) b USING (sid, s))"
+
+
+@query("windowed_measures_legacy", build(
+    f"""SELECT w.sid, w.s AS window_start, {r(f'o.ones::DOUBLE / {o.WINDOW ** 2}', 'recc_rate')}, {r('d.share', 'percent_det')}, {r('d.mean', 'avg_diag')}, d.mx::BIGINT AS max_diag, {r('v.share', 'percent_lam')}, {r('v.mean', 'avg_vert')}, {r('v.ent', 'vert_ent')}, {r('d.ent', 'diag_ent')}, v.mx::BIGINT AS vert_max
+    FROM win w JOIN (SELECT sid, s, count(*) AS ones FROM wrp GROUP BY sid, s) o USING (sid, s) JOIN {_legacy_lines('wl')} d USING (sid, s) JOIN {_legacy_lines('wv')} v USING (sid, s)""", "sz_rp", "rp", **_LEGACY_WIN))
+def _(spark, d):
+    return windows.windowed_measures_legacy(_z(spark, d), o.WINDOW, 1, 2, 0.5)
+
+
 _SUMMED = ("recurrence_rate", "max_diagonal_length", "vertical_mode", "diagonal_entropy")
 
 
@@ -362,6 +377,16 @@ def _(spark, d):
     return information.delay(_z(spark, d))
 
 
+@query("plot_mi_curve", build(f"SELECT mi.sid, mi.tau, {r('mi', 'mi')}, mi.tau = ta.tau AS is_opt FROM mi JOIN ta USING (sid)", "z", "nz", **o.MI))
+def _(spark, d):
+    return plotdata.mi_curve(_z(spark, d))
+
+
+@query("plot_fnn_curve", build(f"SELECT sid, m, {r('sum(CASE WHEN dm < sd / 10 AND dn / dm > 10 THEN 1 ELSE 0 END) / (sum(CASE WHEN dm < sd / 10 THEN 1 ELSE 0 END) + 1e-12)', 'fnn')} FROM nb JOIN sg USING (sid) WHERE m <= 3 GROUP BY sid, m", "pz", "nz", **{k: v for k, v in o.FNN.items() if k not in ("rg", "fc", "r0")}).replace("SELECT sid, m, round", "SELECT sid, m::BIGINT AS m, round"))
+def _(spark, d):
+    return plotdata.fnn_curve(_z(spark, d), 1, 3)
+
+
 @query("first_minimum", build("SELECT sid, coalesce(min(CASE WHEN (p IS NULL OR v < p) AND (q IS NULL OR v < q) THEN t END), arg_min(t, v))::BIGINT AS first_min FROM (SELECT sid, t, v, lag(v) OVER w AS p, lead(v) OVER w AS q FROM ev WINDOW w AS (PARTITION BY sid ORDER BY t)) GROUP BY sid", "ev"))
 def _(spark, d):
     return information.first_minimum(_flat(sources.ev_user(spark, d), "v"), "t", "v")
@@ -703,6 +728,16 @@ def _vectors(spark, d) -> DataFrame:
     return features.feature_vectors(table.select("id", "label", *measures.MEASURES))[0]
 
 
+@query("filter_effect")
+def _(spark, d):
+    return plotdata.filter_effect(sources.ev_user(spark, d))
+
+
+@query("principal_components")
+def _(spark, d):
+    return plotdata.principal_components(_vectors(spark, d))
+
+
 @query("nested_cv")
 def _(spark, d):
     return benchmarks.nested_cv(_vectors(spark, d), "nb", 8, select=False, tune=True, inner_repeats=2)
@@ -720,6 +755,11 @@ def _(spark, d):
     return benchmarks.pairwise_tests(cvs)
 
 
+@query("integrated_benchmark")
+def _(spark, d):
+    return benchmarks.integrated_benchmark(_vectors(spark, d), ("nb", "lda"), outer=6, select=False)["comparison"]
+
+
 @query("permutation_null")
 def _(spark, d):
     return benchmarks.permutation_null(_vectors(spark, d), "nb", 10)
