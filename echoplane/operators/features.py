@@ -35,14 +35,10 @@ def feature_table(series: DataFrame, window: int = 20, step: int = 10, stats: tu
     z = s.zscore(series, dims) if normalise else series
     p = parameters_of(z, cfg, dims, **given)
     e = embed.delay_embed_by(z, p)
-    pairs, size = recurrence.recurrence_pairs(e, p), recurrence.sizes(e)
-    diag, vert = lines.diagonal_runs(pairs), lines.vertical_runs(recurrence.mirrored(pairs, e))
-    hist = lines.histogram(diag, vert)
-    whole = measures.measures_of(hist, recurrence.recurrence_rate(pairs, size), lmin=cfg.lmin)
-    cut = lines.windowed_runs(diag, vert, size.where(F.col("n") >= window), window, step)
-    ones = F.sum(F.when(F.col("kind") == "vert", F.col("len") * F.col("cnt"))) / float(window * window)
-    rates = cut.groupBy("sid", "window_start").agg(ones.alias("recurrence_rate"))
-    summary = windows.summarise(measures.measures_of(cut, rates, ("sid", "window_start"), cfg.lmin), stats)
+    runs = lines.plot_runs(recurrence.recurrent_places(e, p))
+    whole = measures.measures_of(lines.runs_histogram(runs), lmin=cfg.lmin)
+    cut = lines.windowed_runs(runs, window, step)
+    summary = windows.summarise(measures.measures_of(cut, ("sid", "window_start"), cfg.lmin, window), stats)
     renamed = summary.select("sid", *(F.col(c).alias(f"win_{c}") for c in summary.columns if c != "sid"))
     out = whole.join(renamed, "sid", "left").join(p, "sid")
     if labels is not None:

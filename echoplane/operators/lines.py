@@ -57,22 +57,42 @@ def full_histogram(runs: DataFrame, size: DataFrame, kind: str, compat: str = "c
     return lengths.union(base.select("sid", F.lit(0), zero)).where("cnt > 0").toDF("sid", "len", "cnt")
 
 
-def windowed_runs(diag: DataFrame, vert: DataFrame, size: DataFrame, window: int, step: int) -> DataFrame:
+def plot_runs(places: DataFrame) -> DataFrame:
+    """(sid, kind, line, a, b): all runs of a plot from its lower half (main diagonal included), in one
+    pass. A place adds to its diagonal, and to its column and its row; the main diagonal adds to
+    one column and is itself a run, of kind "size", whose length is the plot's side."""
+    at = lambda kind, line, place: F.struct(F.lit(kind).alias("kind"), line.alias("line"), place.alias("p"))
+    i, j = F.col("i"), F.col("j")
+    parts = F.when(i == j, F.array(at("vert", i, i), at("size", F.lit(0), i))).otherwise(F.array(at("diag", i - j, j), at("vert", j, i), at("vert", i, j)))
+    rows = places.select("sid", F.explode(parts).alias("r")).select("sid", "r.kind", "r.line", "r.p")
+    w = W.partitionBy("sid", "kind", "line").orderBy("p")
+    run = rows.withColumn("_g", F.col("p") - F.row_number().over(w))
+    return run.groupBy("sid", "kind", "line", "_g").agg(F.min("p").alias("a"), F.max("p").alias("b")).drop("_g")
+
+
+def runs_histogram(runs: DataFrame) -> DataFrame:
+    """(sid, kind, len, cnt) of `plot_runs`; diagonals stand for both triangles."""
+    counts = runs.groupBy("sid", "kind", (F.col("b") - F.col("a") + 1).alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.withColumn("cnt", F.when(F.col("kind") == "diag", 2 * F.col("cnt")).otherwise(F.col("cnt")))
+
+
+def windowed_runs(runs: DataFrame, window: int, step: int) -> DataFrame:
     """(sid, window_start, kind, len, cnt): histograms of all windows along the main diagonal.
 
     A run cut to a window is a run of the window, so plots are not scanned again: each run
-    is sent to the windows that it meets, cut to size."""
-    top = F.col("n") - window
-    d = diag.join(size, "sid").where(F.col("line") < window)
-    lo, hi = F.greatest(F.lit(0), F.col("a") - (window - 1 - F.col("line"))), F.least(F.col("b"), top)
-    d = _spread(d, lo, hi, step)
-    d_len = F.least(F.col("b"), F.col("s") + window - 1 - F.col("line")) - F.greatest("a", "s") + 1
-    v = vert.join(size, "sid")
-    lo = F.greatest(F.lit(0), F.col("line") - window + 1, F.col("a") - window + 1)
-    v = _spread(v, lo, F.least("line", "b", top), step)
-    v_len = F.least(F.col("b"), F.col("s") + window - 1) - F.greatest("a", "s") + 1
-    count = lambda df, length, kind, k: df.groupBy("sid", F.col("s").alias("window_start"), length.alias("len")).agg((k * F.count(F.lit(1))).alias("cnt")).withColumn("kind", F.lit(kind))
-    return count(d, d_len, "diag", 2).unionByName(count(v, v_len, "vert", 1))
+    is sent to the windows that it meets, cut to size. A column meets a window if its own place
+    is inside; a diagonal at distance k from the main one has k places less."""
+    side = F.max(F.when(F.col("kind") == "size", F.col("b") + 1)).over(W.partitionBy("sid"))
+    r = runs.withColumn("n", side).where((F.col("kind") != "size") & (F.col("n") >= window))
+    diag, k, top = F.col("kind") == "diag", F.col("line"), F.col("n") - window
+    r = r.where(~diag | (k < window))
+    lo = F.when(diag, F.col("a") - (window - 1 - k)).otherwise(F.greatest(k, "a") - window + 1)
+    hi = F.when(diag, F.col("b")).otherwise(F.least(k, "b"))
+    r = _spread(r, F.greatest(F.lit(0), lo), F.least(hi, top), step)
+    end = F.col("s") + window - 1 - F.when(diag, k).otherwise(0)
+    length = F.least(F.col("b"), end) - F.greatest("a", "s") + 1
+    counts = r.groupBy("sid", F.col("s").alias("window_start"), "kind", length.alias("len")).agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.withColumn("cnt", F.when(F.col("kind") == "diag", 2 * F.col("cnt")).otherwise(F.col("cnt")))
 
 
 def _spread(df: DataFrame, lo, hi, step: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import embed, lines, recurrence
@@ -31,17 +32,17 @@ def line_aggregates(kind: str, lmin: int, guard: float = 1e-12) -> dict[str, Col
     }
 
 
-def measures_of(hist: DataFrame, rates: DataFrame, keys: tuple[str, ...] = ("sid",), lmin: int = 2) -> DataFrame:
-    """The eleven measures, for each row of rates (keys, recurrence_rate)."""
+def measures_of(hist: DataFrame, keys: tuple[str, ...] = ("sid",), lmin: int = 2, side: int | None = None) -> DataFrame:
+    """The eleven measures of each histogram. All ones of a plot lie on vertical runs, which gives the
+    recurrence rate; the plot's side is that of its "size" run, or given."""
     d, v = line_aggregates("diag", lmin), line_aggregates("vert", lmin)
-    table = hist.groupBy(*keys).agg(
-        d["share"].alias("determinism"), v["share"].alias("laminarity"), d["entropy"].alias("diagonal_entropy"), v["entropy"].alias("vertical_entropy"),
+    ones = F.sum(F.when(F.col("kind") == "vert", F.col("len") * F.col("cnt")))
+    n = F.lit(float(side)) if side else F.max(F.when(F.col("kind") == "size", F.col("len"))).cast("double")
+    return hist.groupBy(*keys).agg(
+        (F.coalesce(ones, F.lit(0)) / (n * n)).alias("recurrence_rate"), d["share"].alias("determinism"), v["share"].alias("laminarity"), d["entropy"].alias("diagonal_entropy"), v["entropy"].alias("vertical_entropy"),
         d["mean"].alias("average_diagonal_length"), v["mean"].alias("average_vertical_length"), d["max"].cast("int").alias("max_diagonal_length"),
         v["max"].cast("int").alias("max_vertical_length"), d["mode"].cast("int").alias("diagonal_mode"), v["mode"].cast("int").alias("vertical_mode"),
-    )
-    out = rates.join(table, list(keys), "left")
-    empty = {"max_diagonal_length": 1, "max_vertical_length": 1, "diagonal_mode": lmin, "vertical_mode": lmin}
-    return out.select(*keys, *(F.coalesce(F.col(m), F.lit(empty.get(m, 0.0))).alias(m) for m in MEASURES))
+    ).select(*keys, *MEASURES)
 
 
 def rqa_measures(series: DataFrame, tau: int = 1, m: int = 1, eps: float | DataFrame = 0.5, lmin: int = 2, dims: int = 1, params: DataFrame | None = None, tile: int | None = None) -> DataFrame:
@@ -50,33 +51,34 @@ def rqa_measures(series: DataFrame, tau: int = 1, m: int = 1, eps: float | DataF
         e, width, radius = embed.delay_embed_by(series, params), None, params.select("sid", "eps")
     else:
         e, width, radius = embed.delay_embed(series, tau, m), m * dims, eps
-    pairs = recurrence.recurrence_pairs(e, radius, width, tile)
-    size = recurrence.sizes(e)
-    diag, vert = lines.diagonal_runs(pairs), lines.vertical_runs(recurrence.mirrored(pairs, e))
-    hist = lines.histogram(diag, vert)
-    # All ones of the plot lie on vertical runs, so the rate needs no pass of its own.
-    ones = hist.where("kind = 'vert'").groupBy("sid").agg(F.sum(F.col("len") * F.col("cnt")).alias("ones"))
-    rates = size.join(ones, "sid", "left").select("sid", (F.coalesce("ones", F.lit(0)) / (F.col("n").cast("double") * F.col("n"))).alias("recurrence_rate"))
-    return measures_of(hist, rates, lmin=lmin)
+    places = recurrence.recurrent_places(e, radius, width, tile)
+    return measures_of(lines.runs_histogram(lines.plot_runs(places)), lmin=lmin)
 
 
 def rqa_measures_legacy(series: DataFrame, tau: int, m: int, eps: float, dims: int = 1, lmin: int = 2) -> DataFrame:
     """The nine measures of the older tables: the main diagonal counts as a line, the longest line
     has n - 2 points at most, and ratios are guarded by 1e-7."""
     e = embed.delay_embed(series, tau, m)
-    pairs, size = recurrence.recurrence_pairs(e, eps, m * dims), recurrence.sizes(e)
-    hist = lines.histogram(lines.diagonal_runs(pairs), lines.vertical_runs(recurrence.mirrored(pairs, e)))
-    ends = size.select("sid", F.lit("diag").alias("kind"), F.col("n").alias("len"), F.lit(1).cast("long").alias("cnt"))
-    return legacy_of(hist.unionByName(ends), size, ("sid",), lmin)
+    hist = lines.runs_histogram(lines.plot_runs(recurrence.recurrent_places(e, eps, m * dims)))
+    return legacy_of(hist, ("sid",), lmin)
 
 
-def legacy_of(hist: DataFrame, size: DataFrame, keys: tuple[str, ...], lmin: int = 2) -> DataFrame:
-    """The nine measures over hist, whose diagonals hold the main one; size has keys and n."""
-    hist = hist.groupBy(*keys, "kind", "len").agg(F.sum("cnt").alias("cnt"))
+def legacy_of(hist: DataFrame, keys: tuple[str, ...], lmin: int = 2, side: int | None = None) -> DataFrame:
+    """The nine measures; the main diagonal joins the diagonals as one line of the plot's side."""
+    # The "size" run is that line: a second row of kind diag for it.
+    own = F.array(F.struct(F.col("kind"), F.col("len"), F.col("cnt")))
+    also = F.array(F.struct(F.lit("diag").alias("kind"), F.col("len"), F.col("cnt")))
+    both = hist.select(*keys, F.explode(F.when(F.col("kind") == "size", F.concat(own, also)).otherwise(own)).alias("r")).select(*keys, "r.*")
+    if side:
+        ends = hist.select(*keys).distinct().select(*keys, F.lit("diag"), F.lit(side), F.lit(1).cast("long"))
+        both = hist.select(*keys, "kind", "len", "cnt").union(ends)
+    hist = both.groupBy(*keys, "kind", "len").agg(F.sum("cnt").alias("cnt"))
+    n = F.lit(side) if side else F.max(F.when(F.col("kind") == "size", F.col("len"))).over(W.partitionBy(*keys))
+    hist = hist.withColumn("n", n)
     d, v = line_aggregates("diag", lmin, 1e-7), line_aggregates("vert", lmin, 1e-7)
     longest = lambda kind: F.coalesce(F.max(F.when((F.col("kind") == kind) & (F.col("len") <= F.col("n") - 2) & (F.col("len") >= 1), F.col("len"))), F.lit(1)).cast("int")
     ones = F.sum(F.when(F.col("kind") == "vert", F.col("len") * F.col("cnt")))
-    return hist.join(size, list(keys)).groupBy(*keys).agg(
+    return hist.groupBy(*keys).agg(
         (ones / F.max(F.col("n").cast("double") * F.col("n"))).alias("recc_rate"), d["share"].alias("percent_det"), d["mean"].alias("avg_diag"), longest("diag").alias("max_diag"),
         v["share"].alias("percent_lam"), v["mean"].alias("avg_vert"), v["entropy"].alias("vert_ent"), d["entropy"].alias("diag_ent"), longest("vert").alias("vert_max"),
     )

@@ -56,6 +56,20 @@ def recurrence_pairs(embedded: DataFrame, eps: float | DataFrame, width: int | N
     return pair_distances(embedded, width, tile, keys=keys).where(F.col("d") < eps).select(*keys, "i", "j")
 
 
+def recurrent_places(embedded: DataFrame, eps: float | DataFrame, width: int | None = None, tile: int | None = None) -> DataFrame:
+    """(sid, i, j): as `recurrence_pairs`, with the main diagonal: all that a plot's lower half has."""
+    own = embedded.join(eps.select("sid", "eps"), "sid") if isinstance(eps, DataFrame) else embedded.withColumn("eps", F.lit(float(eps)))
+    a = own.select("sid", F.col("t").alias("i"), F.col("e").alias("ea"), "eps")
+    b = embedded.select("sid", F.col("t").alias("j"), F.col("e").alias("eb"))
+    on = ["sid"]
+    if tile:
+        last = embedded.groupBy("sid").agg(F.floor(F.max("t") / tile).cast("int").alias("_last"))
+        a = a.withColumn("_p", F.floor(F.col("i") / tile).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), "_p")))
+        b = b.join(last, "sid").withColumn("_q", F.floor(F.col("j") / tile).cast("int")).withColumn("_p", F.explode(F.sequence("_q", "_last"))).drop("_last")
+        on += ["_p", "_q"]
+    return a.join(b, on).where("i >= j").where(distance(width) < F.col("eps")).select("sid", "i", "j")
+
+
 def recurrence_pairs_by_cell(embedded: DataFrame, eps: float, width: int | None = None) -> DataFrame:
     """The same pairs, by cells of width eps along the first coordinate: a state meets its own and
     the next lower and higher cell only."""

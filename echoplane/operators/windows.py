@@ -12,9 +12,7 @@ PICKS = ("first", "middle", "last", "max", "avg", "mode", "median")
 
 
 def _runs(series, tau, m, eps, dims):
-    e = embed.delay_embed(series, tau, m)
-    pairs = recurrence.recurrence_pairs(e, eps, m * dims)
-    return lines.diagonal_runs(pairs), lines.vertical_runs(recurrence.mirrored(pairs, e)), recurrence.sizes(e)
+    return lines.plot_runs(recurrence.recurrent_places(embed.delay_embed(series, tau, m), eps, m * dims))
 
 
 def check(window: int, step: int) -> None:
@@ -27,25 +25,18 @@ def check(window: int, step: int) -> None:
 def windowed_histogram(series: DataFrame, window: int, step: int = 1, tau: int = 1, m: int = 1, eps: float = 0.5, dims: int = 1) -> DataFrame:
     """(sid, window_start, kind, len, cnt)."""
     check(window, step)
-    diag, vert, size = _runs(series, tau, m, eps, dims)
-    return lines.windowed_runs(diag, vert, size.where(F.col("n") >= window), window, step)
+    return lines.windowed_runs(_runs(series, tau, m, eps, dims), window, step)
 
 
 def windowed_measures(series: DataFrame, window: int, step: int = 1, tau: int = 1, m: int = 1, eps: float = 0.5, lmin: int = 2, dims: int = 1) -> DataFrame:
     """(sid, window_start, measures). Parameters are the whole series'; series shorter than a
     window have no rows."""
-    hist = windowed_histogram(series, window, step, tau, m, eps, dims)
-    ones = F.sum(F.when(F.col("kind") == "vert", F.col("len") * F.col("cnt"))) / float(window * window)
-    rates = hist.groupBy("sid", "window_start").agg(ones.alias("recurrence_rate"))
-    return measures_of(hist, rates, ("sid", "window_start"), lmin)
+    return measures_of(windowed_histogram(series, window, step, tau, m, eps, dims), ("sid", "window_start"), lmin, window)
 
 
 def windowed_measures_legacy(series: DataFrame, window: int, tau: int = 1, m: int = 1, eps: float = 0.5, lmin: int = 2, dims: int = 1) -> DataFrame:
     """(sid, window_start, nine measures), for windows at every place."""
-    hist = windowed_histogram(series, window, 1, tau, m, eps, dims)
-    places = hist.select("sid", "window_start").distinct()
-    ends = places.select("sid", "window_start", F.lit(window).alias("len"), F.lit(1).cast("long").alias("cnt"), F.lit("diag").alias("kind"))
-    return legacy_of(hist.unionByName(ends), places.withColumn("n", F.lit(window)), ("sid", "window_start"), lmin)
+    return legacy_of(windowed_histogram(series, window, 1, tau, m, eps, dims), ("sid", "window_start"), lmin, window)
 
 
 def summarise(windowed: DataFrame, stats: tuple[str, ...] = ("mean", "median", "mode"), measures: tuple[str, ...] = MEASURES) -> DataFrame:

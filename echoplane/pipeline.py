@@ -42,25 +42,20 @@ class Rqa:
         """(sid, i, j): recurrent pairs i > j."""
         return self._once("plot", lambda: recurrence.recurrence_pairs(self.embedded(), self.parameters()))
 
-    def _histogram(self) -> DataFrame:
-        pairs, e = self.plot(), self.embedded()
-        return lines.histogram(lines.diagonal_runs(pairs), lines.vertical_runs(recurrence.mirrored(pairs, e)))
+    def _runs(self) -> DataFrame:
+        return lines.plot_runs(recurrence.recurrent_places(self.embedded(), self.parameters()))
 
     def rate(self) -> DataFrame:
         return self._once("rate", lambda: recurrence.recurrence_rate(self.plot(), recurrence.sizes(self.embedded())))
 
     def measures(self, lmin: int | None = None) -> DataFrame:
         lmin = lmin or self.config.lmin
-        return self._once(f"measures_{lmin}", lambda: measures.measures_of(self._histogram(), self.rate(), lmin=lmin))
+        return self._once(f"measures_{lmin}", lambda: measures.measures_of(lines.runs_histogram(self._runs()), lmin=lmin))
 
     def windowed(self, window: int, step: int = 1, lmin: int | None = None) -> DataFrame:
         windows.check(window, step)
-        pairs, e = self.plot(), self.embedded()
-        size = recurrence.sizes(e).where(F.col("n") >= window)
-        hist = lines.windowed_runs(lines.diagonal_runs(pairs), lines.vertical_runs(recurrence.mirrored(pairs, e)), size, window, step)
-        ones = F.sum(F.when(F.col("kind") == "vert", F.col("len") * F.col("cnt"))) / float(window * window)
         self.recorder.record("windowed", f"rqa.windowed({window}, {step})")
-        return measures.measures_of(hist, hist.groupBy("sid", "window_start").agg(ones.alias("recurrence_rate")), ("sid", "window_start"), lmin or self.config.lmin)
+        return measures.measures_of(lines.windowed_runs(self._runs(), window, step), ("sid", "window_start"), lmin or self.config.lmin, window)
 
     def summary(self, window: int, step: int = 1, stats: tuple[str, ...] = ("mean", "median", "mode")) -> DataFrame:
         return windows.summarise(self.windowed(window, step), stats)
