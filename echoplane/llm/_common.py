@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id, so that such rows sort last.
 NULL_ID = 2**63 - 1
 #: Bytes of text that a map task works on at a time.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
+#: Rows in a batch of the exchange with Python, at most.
+BATCH_ROWS = 1000
 
 U = np.uint64
 
@@ -45,11 +47,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands rows to Python in batches of BATCH_ROWS at most (10,000 texts at
+    once take hundreds of MB on either side). A number that the user has set is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs as (_id, _th, text): the id with nulls last and the text's hash, which
     together name a row; rows that repeat both are the same document."""
     text = F.col("text").cast("string")
-    return docs.select(
+    return bounded_batches(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"),
         text.alias("text"),

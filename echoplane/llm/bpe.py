@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, cut, pack, release, shuffle_partitions, unpack
+from ._common import bounded_batches, chunks, cut, pack, release, shuffle_partitions, unpack
 
 #: Most words in the lexicon, and how often a word must occur to be in it.
 LEXICON_WORDS = 60_000
 MIN_COUNT = 8
 #: Pretokens that a worker remembers.
-CACHE = 150_000
+CACHE = 300_000
 #: Stands for the rank of a pair that does not merge.
 NO_RANK = 1 << 40
 
@@ -419,7 +419,7 @@ def default_vocabulary() -> str:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded_batches(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
@@ -479,7 +479,7 @@ def encode_corpus(docs: DataFrame, vocabulary_path: str | None = None, keep: tup
     vocabulary = Vocabulary(vocabulary_path or default_vocabulary())
     held = spark.sparkContext.broadcast(vocabulary)
     lexicon = spark.sparkContext.broadcast(build_lexicon(docs, vocabulary))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_keep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    rows = bounded_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_keep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches):
         codec = Codec(held.value, Transducer.mapped(lexicon.value))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
+
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_SHARE = 0.25
@@ -122,7 +124,7 @@ def read_window(text: str) -> list[tuple[str, str]]:
 
 def format_conversations(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_share: float = HISTORY_SHARE) -> DataFrame:
     """(conv_id, window, text, n_context, mask), a conversation's windows in order in one partition."""
-    rows = turns.select(
+    rows = bounded_batches(turns).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )

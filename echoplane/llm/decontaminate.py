@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, chunks, mix, slice_hashes, word_spans, words_joined
+from ._common import U, bounded_batches, chunks, mix, slice_hashes, word_spans, words_joined
 
 MASKS = ("1110111", "11011011", "110101011", "1100110011")
 PENALTY = 4
@@ -146,7 +146,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, n_equal): each document and item that overlap."""
     sc, out = docs.sparkSession.sparkContext, None
     schema = "doc_id long, item_id long, start long, n_words long, n_equal long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for items in blocks(benchmark):
         held = sc.broadcast(items)
 
@@ -176,7 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     gone = {x[0] for x in block.matches(table.column("text").cast(pa.string()).to_pylist())}
                     yield from table.filter(pa.array([k not in gone for k in range(table.num_rows)], pa.bool_())).combine_chunks().to_batches()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

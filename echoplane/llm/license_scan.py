@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import bounded_batches, chunks
 
 COVER = 0.8
 SLACK = 1.2
@@ -153,7 +153,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([f[k] for f in finds], t) for k, t in enumerate(kinds))], names=["doc_id", "license", "start", "end", "n_matched", "coverage"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, start long, end long, n_matched long, coverage double")
 
 

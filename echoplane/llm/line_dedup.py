@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import NULL_ID, U, as_bytes, chunks, cut, mix, pack, release, shuffle_partitions, unpack
+from ._common import NULL_ID, U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, shuffle_partitions, unpack
 
 MIN_CHARS = 10
 #: Bytes of text whose keys a shard holds on average, at most.
@@ -216,7 +216,7 @@ def _drops(table: pa.Table) -> pa.Table:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
+    return bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
 
 
 def _n_shards(docs: DataFrame) -> int:
@@ -235,7 +235,7 @@ def _apply_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
     lost = drops.groupBy("_id").agg(F.array_join(F.collect_list(F.hex("key")), "").alias("_keys"))
     rest = [c for c in docs.columns if c != "text"]
     # The other columns travel as one struct, so that no name of theirs can clash.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col("text").cast("string").alias("_text"))
+    rows = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col("text").cast("string").alias("_text"))
     joined = rows.join(lost, "_id", "left").select("_rest", "_text", "_keys")
     kind = T.StructType([joined.schema["_rest"], joined.schema["_text"], T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
 

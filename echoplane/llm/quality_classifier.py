@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U, as_bytes, chunks, cut, mix, release, slice_hashes, word_spans, words_joined
+from ._common import U, as_bytes, bounded_batches, chunks, cut, mix, release, slice_hashes, word_spans, words_joined
 
 CLASSES = ("clean", "junk", "toxic")
 CLEAN, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
@@ -203,7 +203,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None) -> np.ndarray:
@@ -274,7 +274,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
                 p = _probabilities(as_bytes(table.column("text").cast(pa.string()).combine_chunks()), held.value)
                 yield from table.filter(pa.array(p[:, CLEAN] >= 0.5)).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The corpus queries: one opN_<name> for each operator, over whole tables."""
+"""The corpus queries: one opN_<name> for each operator, over whole tables.
+
+Only two have an oracle: the others rest on XXH64, BPE, trained or estimated models, greedy
+windows or alignments, which SQL does not express; their tests use brute force, the
+tokenizers library, round trips or held-out labels."""
 
 from __future__ import annotations
 
@@ -17,4 +21,20 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10,
 }
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM p),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM f WHERE k > 1),
+        x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+        r AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS s FROM x ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+    "op8_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+        m AS (SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+}

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, U, as_bytes, chunks, cut, mix, pack, release, shuffle_partitions, unpack, word_spans, words_joined
+from ._common import NULL_ID, U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, shuffle_partitions, unpack, word_spans, words_joined
 from .components import components
 
 SHINGLE = 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = text_fingerprints(as_bytes(table.column("text").combine_chunks()))
             yield pa.RecordBatch.from_arrays([table.column("_id").combine_chunks(), pa.array(fp.view(np.int64))], names=["_id", "fp"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "_id long, fp long")
 
 
