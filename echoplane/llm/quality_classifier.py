@@ -8,8 +8,8 @@ from that the posterior class of every pattern. A softmax scorer over hashed fea
 trained on the posteriors of at most TRAIN_DOCS documents and scores every document.
 
 Patterns are counted over all documents; there are at most 4**len(LABELLERS) of them, so
-that is what the driver gets. TRAIN_DOCS is the only bound on the data: the documents
-with the least hashes of their ids train the scorer. Documents are never shuffled.
+that is what the driver gets. TRAIN_DOCS is the only bound on the data: labelled documents
+first, then others, by least hashes of their ids, train the scorer. Documents are never shuffled.
 
 Defined results for odd rows: null and empty texts have no words, and get the scores of
 the features that they share with others (clean, unless the corpus says otherwise); a
@@ -34,7 +34,9 @@ LABELLERS = ("symbols", "capitals", "tables", "repeats", "variety", "prose", "in
 #: Documents that train the scorer, at most.
 TRAIN_DOCS = 4_000
 FEATURES = 1 << 16
-EPOCHS = 60
+#: Texts of fewer words are judged with less weight on each word.
+SHORT = 24
+EPOCHS = 100
 EM_ROUNDS = 30
 #: English insults.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -92,7 +94,7 @@ class Features:
         self.stats = np.stack(
             [
                 per_doc(_SYMBOL) / words,
-                per_doc(_UPPER) / np.maximum(per_doc(_LETTER), 1),
+                np.maximum(per_doc(_UPPER) - 1, 0) / np.maximum(per_doc(_LETTER), 1),  # a text may begin with a capital
                 pipes / words,
                 np.bincount(self.doc, same, len(texts)) / words,
                 np.bincount(self.doc[order], new, len(texts)) / words,
@@ -122,7 +124,8 @@ class Features:
 
     def sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, feature, value) triples: shares of words, and binned statistics."""
-        share = 1.0 / np.maximum(self.n, 1)[self.doc]
+        # The few words of a short text say little: they weigh as if it had SHORT words.
+        share = 1.0 / np.maximum(self.n, SHORT)[self.doc]
         bins = np.minimum(np.log2(1 + self.stats * np.array([8, 8, 16, 16, 8, 8, 200])) * 3, 31).astype(np.int64)
         k = bins.shape[1]
         binned = 8192 + np.arange(k) * 32 + bins
@@ -136,7 +139,7 @@ class Features:
                 np.concatenate([binned, np.full((len(self.n), 1), 16383)], axis=1).ravel(),
             ]
         )
-        return doc, feature, np.concatenate([share, share, share, np.full(len(self.n) * (k + 1), 0.3)])
+        return doc, feature, np.concatenate([share, share, share, np.ones(len(self.n) * (k + 1))])
 
 
 def _pattern(votes: np.ndarray) -> np.ndarray:
@@ -223,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> np.ndarray:
     by_code = dict(zip(codes.tolist(), posterior.tolist()))
 
     ids = votes.where("doc_id is not null").groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
-    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    untold = F.floor(F.col("pattern") / 4 ** (len(LABELLERS) - 1)) == ABSTAIN  # labelled documents come first
+    picked = ids.orderBy(untold, F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     # At most TRAIN_DOCS pairs of numbers: these may be broadcast. Rows that repeat an id count once.
     sample = _rows(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
