@@ -174,10 +174,11 @@ def thresholds(rows: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): base and all spans of each row, as arrays of (a, kind, z)."""
     rows = cut(scored(docs))
-    # One row: a map of at most 41 classes.
-    least = thresholds(rows).agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("least"))
+    # At most 41 classes: they become part of the expression.
+    passed = [x for r in thresholds(rows).collect() for x in (F.lit(r["class"]), F.lit(r.least))]
+    held = rows.withColumn("least", F.create_map(*passed) if passed else F.expr("cast(map() as map<int, int>)"))
     more = "transform(filter(found, f -> f.s.bin >= least[f.s.class]), f -> struct(f.a as a, f.kind as kind, f.z as z))"
-    return rows.crossJoin(F.broadcast(least)).select("doc_id", "base", F.expr(f"array_sort(concat(base, {more}))").alias("spans"))
+    return held.select("doc_id", "base", F.expr(f"array_sort(concat(base, {more}))").alias("spans"))
 
 
 def _digest(spans: str) -> str:

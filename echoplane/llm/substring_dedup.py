@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import (
-    Rolling, U, as_bytes, chunks, keyed, merge_intervals, mix, pack, release, runs, shuffle_partitions,
+    Rolling, U, as_bytes, chunks, cut, keyed, merge_intervals, mix, pack, release, runs, shuffle_partitions,
     slice_hashes, slices_equal, unpack, word_spans, words_joined,
 )
 
@@ -219,9 +219,9 @@ def _common_seeds(rows: DataFrame, n: int, window: int, seed: int, n_buckets: in
 
     picked = rows.sample(False, min(1.0, SAMPLE_DOCS / n), 7) if n > SAMPLE_DOCS else rows
     counts = picked.mapInArrow(keys, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    counts = counts.where(F.col("c") > 8)  # what few documents hold says nothing of the corpus
-    share = 1 / min(8 * n_buckets, 65536)
-    found = counts.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("all")))).where(F.col("c") > F.col("all") * share).select("k")
+    counts = cut(counts.where(F.col("c") > 8))  # what few documents hold says nothing of the corpus
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    found = counts.where(F.col("c") > total / min(8 * n_buckets, 65536)).select("k")
     return np.sort(np.array([r.k for r in found.collect()], np.int64).view(np.uint64))
 
 
