@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .recurrence import distance
+
 
 def rank_p_value(real: DataFrame, null: DataFrame, keys: tuple[str, ...], value: str = "value", side: str = "greater") -> DataFrame:
     """(keys, p): (nulls at least as extreme + 1) / (nulls + 1)."""
@@ -126,7 +128,7 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
     return ratio.groupBy("la").agg(F.max("r").alias("r")).agg(F.avg("r").alias("score"))
 
 
-def silhouette(points: DataFrame, block: int = 64) -> DataFrame:
+def silhouette(points: DataFrame, block: int = 64, width: int | None = None) -> DataFrame:
     """(score): mean silhouette by Euclidean distances; a point alone in its cluster scores 0.
 
     Every point meets every other, by definition: points are dealt to blocks, and pairs of
@@ -135,21 +137,21 @@ def silhouette(points: DataFrame, block: int = 64) -> DataFrame:
     every = F.sequence(F.lit(0), F.lit(block - 1))
     a = p.select(F.col("id").alias("ia"), F.col("label").alias("la"), F.col("features").alias("fa"), F.col("b").alias("p"), F.explode(every).alias("q"))
     b = p.select(F.col("id").alias("ib"), F.col("label").alias("lb"), F.col("features").alias("fb"), F.col("b").cast("int").alias("q"))
-    d = F.sqrt(F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    d = distance(width, "fa", "fb")  # compiled where the number of features is given
     to = a.join(b, "q").where("ia <> ib").groupBy("ia", "la", "lb").agg(F.avg(d).alias("m"))
     per = to.groupBy("ia").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return per.agg(F.avg(s).alias("score"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, leave_one_out: bool = False) -> DataFrame:
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, leave_one_out: bool = False, width: int | None = None) -> DataFrame:
     """(id, yhat): the most frequent label of the k nearest training points (ties: nearest id first,
     least label); leave_one_out keeps a point from voting for itself. The training set is dealt to
     the tasks in blocks, which keep their k best."""
     blocks = 16
     a = test.select("id", F.col("features").alias("fa"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     b = train.select(F.col("id").alias("tid"), "label", F.col("features").alias("fb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    d = F.sqrt(F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    d = distance(width, "fa", "fb")  # compiled where the number of features is given
     near = a.join(b, "b").where("id <> tid" if leave_one_out else "true").select("id", "tid", "label", "b", d.alias("d"))
     best = near.withColumn("r", F.row_number().over(W.partitionBy("id", "b").orderBy("d", "tid"))).where(F.col("r") <= k)
     best = best.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "tid"))).where(F.col("r") <= k)

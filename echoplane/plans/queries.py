@@ -569,7 +569,7 @@ _PT = {
 @query("knn_predict", build("SELECT id, label::BIGINT AS yhat FROM (SELECT id, label, count(*) AS c FROM (SELECT a.id, b.label FROM pt a JOIN pt b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) <= 5) GROUP BY id, label) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, label) = 1", pt=_PT["pt"]))
 def _(spark, d):
     p = _points(spark, d)
-    return stats.knn_predict(p, p, 5, leave_one_out=True)
+    return stats.knn_predict(p, p, 5, leave_one_out=True, width=64)
 
 
 def _nb(spark, d):
@@ -599,7 +599,7 @@ def _(spark, d):
 
 @query("silhouette", build(f"SELECT {r('avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END)', 'score')} FROM (SELECT id, min(CASE WHEN la = lb THEN m END) AS own, min(CASE WHEN la <> lb THEN m END) AS other FROM (SELECT a.id, a.label AS la, b.label AS lb, avg(list_distance(a.f, b.f)) AS m FROM pt a JOIN pt b ON a.id <> b.id GROUP BY 1, 2, 3) GROUP BY id)", pt=_PT["pt"]))
 def _(spark, d):
-    return stats.silhouette(_points(spark, d), 8)
+    return stats.silhouette(_points(spark, d), 8, width=64)
 
 
 _DISP = {**{k: _PT[k] for k in ("pt", "lp", "ce")}, "mu": "SELECT pos, avg(v) AS m FROM lp GROUP BY pos"}
