@@ -7,7 +7,9 @@ joined with hashes of every position of every document; each hit fixes how the i
 lies along the document (a diagonal), and is verified there: the item's overlap with the
 document is scored +1 for an equal and -PENALTY for another word, and the best-scoring
 run must have MIN_WORDS equal words, or LEAST_WORDS that are 80 % of the item's words.
-Runs with a positive score have over 80 % equal words.
+Runs with a positive score have over 80 % equal words. Where the run falls short, the
+whole overlap counts: LEAST_WORDS equal words that are 80 % of the item's are enough,
+wherever the others lie.
 
 The benchmark is the small side: it is sent to the tasks in blocks of BLOCK_BYTES at
 most (or one item), whatever its size, and each block is met with all documents. The
@@ -124,8 +126,11 @@ class Block:
         end = int(np.argmax(gain))
         start = int(np.argmin(total[: end + 1]))
         same = int(equal[start:end].sum())
-        if same >= MIN_WORDS or same >= LEAST_WORDS and same >= COVER * len(own):
+        if same >= MIN_WORDS or same >= LEAST_WORDS and same >= COVER * len(own) - 1e-9:
             return start + a + shift, end - start, same
+        at = np.flatnonzero(equal)
+        if len(at) >= LEAST_WORDS and len(at) >= COVER * len(own) - 1e-9:
+            return int(at[0]) + a + shift, int(at[-1] - at[0]) + 1, len(at)
         return None
 
 
@@ -196,15 +201,18 @@ def brute_force(docs: dict[int, str | None], items: dict[int, str | None]) -> se
         for d, x in docs.items():
             w = words(x)
             for shift in range(-len(own) + 1, len(w)):
-                best = score = same = 0
+                best = score = same = whole = 0
                 for k in range(len(own)):
                     if 0 <= k + shift < len(w):
                         eq = own[k] == w[k + shift]
+                        whole += eq
                         score, same = (score + 1, same + 1) if eq else (score - PENALTY, same)
                         if score <= 0:
                             score = same = 0
                         elif score > best:
                             best = score
-                            if same >= MIN_WORDS or same >= LEAST_WORDS and same >= COVER * len(own):
+                            if same >= MIN_WORDS:
                                 out.add((d, i))
+                if whole >= LEAST_WORDS and 5 * whole >= 4 * len(own):
+                    out.add((d, i))
     return out

@@ -50,3 +50,19 @@ def test_odd_rows(spark):
     assert [tuple(r) for r in m.decontaminate(d, b).collect()] == [(3, "other", None)]
     assert m.decontaminate(d.limit(0), b).count() == 0 and m.decontaminate(d, b.limit(0)).count() == 3
     assert m.overlaps(d, b.limit(0)).count() == 0
+
+
+def test_substitutions_anywhere_in_the_item():
+    rng = random.Random(5)
+    for n, subs in [(15, 1), (15, 2), (15, 3), (18, 2), (22, 3), (30, 5), (30, 6)]:
+        own = [f"i{k}" for k in range(n)]
+        block = m.Block([(0, " ".join(own))])
+        # As many words whole as a seed needs, so that only the verification decides.
+        for _ in range(40):
+            at = rng.randint(0, n - 7)
+            free = [k for k in range(n) if not at <= k < at + 7]
+            gone = rng.sample(free, subs)
+            text = " ".join(f"x{k}" if k in gone else w for k, w in enumerate(own))
+            [found] = block.matches([f"a b c {text} d e"])
+            assert found[:2] == (0, 0) and (0, 0) in m.brute_force({0: text}, {0: " ".join(own)})
+    assert m.Block([(0, "a b c d e f g h i j")]).matches(["a b c d e f g x y z"]) == []
