@@ -21,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,7 +100,7 @@ class Scanner:
             words = normal_words(text)
             signal = set(words) - FUNCTION_WORDS or set(words)
             # So many different signal words are there if cover of all words are.
-            need = max(1, len(signal) - int((1 - cover) * len(words)))
+            need = max(1, len(signal) - (len(words) - ceil(cover * len(words) - 1e-9)))
             for w in signal:
                 self.of.setdefault(w, []).append(len(self.templates))
             self.templates.append((name, words, need))

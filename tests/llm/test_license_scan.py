@@ -52,3 +52,13 @@ def test_nothing_else_is_there():
     for _ in range(60):
         text = b" ".join(rng.choices(pool, k=60)).decode()
         assert {x[0] for x in scanner.scan(text)} <= {n for n, t in m.TEMPLATES.items() if m.brute_force(text, t)}
+
+
+def test_one_signal_word_replaced():
+    assert [x[0] for x in m.Scanner(m.TEMPLATES).scan("Distributed under the MIT License.")] == ["MIT line"]
+    for name, text in m.TEMPLATES.items():
+        scanner, words = m.Scanner({name: text}), text.split()
+        for k, w in enumerate(words):
+            if set(m.normal_words(w)) - m.FUNCTION_WORDS:
+                changed = " ".join(["some", "words", *words[:k], "other", *words[k + 1 :], "after", "it"])
+                assert m.brute_force(changed, text) and len(scanner.scan(changed)) == 1, (name, k)
