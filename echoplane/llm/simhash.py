@@ -20,8 +20,9 @@ Within a key only a spanning forest of the links is emitted, never all pairs.
 
 Defined results for odd rows: a null text has no words and fingerprint zero; a null
 doc_id takes part and sorts last, and its component_id is null only if all ids of the
-component are null; rows with equal doc_id are linked like any others, and those with
-different fingerprints keep their own rows; other columns are ignored by `fingerprints`
+component are null; rows with equal doc_id, or none, are linked by their texts only, as
+any others are; `keep_first` keeps exactly one row of each component, by least doc_id,
+then text hash, then hash of the whole row; other columns are ignored by `fingerprints`
 and kept by `keep_first`.
 """
 
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import NULL_ID, U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, shuffle_partitions, unpack, word_spans, words_joined
@@ -73,16 +75,19 @@ def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(_id, fp): each row's id (nulls as NULL_ID) and fingerprint, as a signed long."""
+def fingerprints(docs: DataFrame, *names: str) -> DataFrame:
+    """(_id, fp): each row's id (nulls as NULL_ID) and fingerprint, as a signed long; with names,
+    these long columns of docs in place of _id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, 4 << 20):
             fp = text_fingerprints(as_bytes(table.column("text").combine_chunks()))
-            yield pa.RecordBatch.from_arrays([table.column("_id").combine_chunks(), pa.array(fp.view(np.int64))], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in kept), pa.array(fp.view(np.int64))], names=[*kept, "fp"])
 
-    rows = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "_id long, fp long")
+    kept = names or ("_id",)
+    ids = [F.col(c) for c in names] or [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")]
+    rows = bounded_batches(docs).select(*ids, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*kept, "fp")))
 
 
 def split_mask(mask: int, parts: int = MAX_BITS + 1) -> list[int]:
@@ -230,11 +235,17 @@ def links(nodes: DataFrame) -> DataFrame:
 def assign(docs: DataFrame) -> DataFrame:
     """(_id, fp, _component) for each row of docs; ids as `fingerprints` has them."""
     prints = cut(fingerprints(docs))
+    return prints.join(roots(prints), "fp").select("_id", "fp", "_component")
+
+
+def roots(prints: DataFrame) -> DataFrame:
+    """prints (_id, fp) -> (fp, _root, _component) for each fingerprint: its component's least
+    fingerprint, which names it, and least id. Ids may repeat, so the graph is of fingerprints."""
     nodes = cut(prints.groupBy("fp").agg(F.min("_id").alias("id")))
-    # Ids name fingerprints here; where rows repeat an id, several fingerprints may share one.
-    parts = components(links(nodes)).withColumnRenamed("node", "id")
-    named = nodes.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("_component"))
-    return prints.join(cut(named), "fp")
+    parts = components(links(nodes.select("fp", F.col("fp").alias("id")))).withColumnRenamed("node", "fp")
+    named = cut(nodes.join(parts, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("_root")))
+    least = named.groupBy("_root").agg(F.min("id").alias("_component"))
+    return cut(named.join(least, "_root").select("fp", "_root", "_component"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -246,9 +257,34 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest id."""
-    gone = assign(docs).where("_id <> _component").select("_id").distinct()
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"))
-    return held.join(gone, "_id", "left_anti").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    prints = cut(fingerprints(named_rows(docs), *ROW))
+    return first_rows(docs, prints.join(roots(prints).select("fp", "_root"), "fp"))
+
+
+#: What names a row: id with nulls last, text hash, hash of all columns.
+ROW = ("_id", "_th", "_rh")
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """docs as (_row, text) with the columns of ROW."""
+    text = F.col("text").cast("string")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        text.alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"),
+        F.xxhash64(*plain).alias("_rh"),
+    )
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """docs with the first row, by ROW, of each _root of rooted (_root and ROW)."""
+    first = rooted.groupBy("_root").agg(F.min(F.struct(*ROW)).alias("f")).select("f.*")
+    left = named_rows(docs).drop("text").join(first, list(ROW), "left_semi")
+    # Rows that are equal in all columns are told apart by nothing but their number.
+    one = left.withColumn("_n", F.row_number().over(W.partitionBy(*ROW).orderBy("_id"))).where("_n = 1")
+    return one.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[str, int]]:

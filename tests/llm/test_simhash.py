@@ -58,3 +58,15 @@ def test_odd_rows(spark):
     rows = m.keep_first(df).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(5, "a b c d"), (5, "z z y"), (9, "q q r s")]
     assert m.keep_first(df.limit(0)).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng.choices([f"v{k}" for k in range(500)], k=40)) for _ in range(4))
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (5, a, 4), (6, b, 5), (8, d, 6), (8, a, 7), (9, d, 8), (9, d, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = {(r._id, r.fp): r._component for r in m.assign(df).collect()}
+    fp = {t: int(m.text_fingerprints([t.encode()])[0].astype("int64")) for t in (a, b, c, d)}
+    assert got == {(m.NULL_ID, fp[a]): 5, (m.NULL_ID, fp[b]): 6, (m.NULL_ID, fp[c]): m.NULL_ID, (5, fp[a]): 5, (6, fp[b]): 6, (8, fp[d]): 8, (8, fp[a]): 5, (9, fp[d]): 8}
+    assert sorted(r.n for r in m.keep_first(df).collect()) == [3, 4, 5, 6]
+    assert [r.n for r in m.keep_first(df.where("n = 8")).collect()] == [8]
