@@ -11,8 +11,7 @@ class RqaConfig:
 
     ``r*``: false-nearest-neighbour threshold grid, ``delta`` its zero level, ``bound`` the drop
     that selects a dimension; ``reqrr``/``rr_delta``: target recurrence rate and tolerance;
-    ``eps*``: radius grid; ``lmin``: shortest line that counts; ``compat``: "current" or
-    "legacy" semantics where the two generations of the method differ."""
+    ``eps*``: radius grid; ``lmin``: shortest line that counts."""
 
     rdiv: int = 451
     rmin: float = 1.0
@@ -27,7 +26,6 @@ class RqaConfig:
     mi_method: str = "histdd"
     tau_method: str = "default"
     lmin: int = 2
-    compat: str = "current"
 
     def with_(self, **changes) -> RqaConfig:
         return replace(self, **changes)

@@ -64,3 +64,12 @@ def test_recorder():
     assert r.n_blocks == 1 and "# a\nx = 1" in r.script()
     r.clear()
     assert r.n_blocks == 0
+
+
+def test_no_setting_that_nothing_reads():
+    import pytest
+
+    from echoplane.config import RqaConfig
+
+    with pytest.raises(TypeError):
+        RqaConfig(compat="legacy")
