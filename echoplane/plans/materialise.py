@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and read back. Where none is set (tests) a
-    temporary folder is used."""
+    """df, written to the cluster's shared checkpoint folder and read back. A temporary folder is taken
+    where none is set and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="echoplane-ckpt-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="echoplane-ckpt-"))
     return df.checkpoint()
