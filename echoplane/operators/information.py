@@ -38,16 +38,26 @@ def bin_counts(series: DataFrame, method: str = "default") -> DataFrame:
     return one.groupBy("sid").agg(b.cast("int").alias("bins"))
 
 
-def lagged(series: DataFrame, lags: DataFrame | range | list[int]) -> DataFrame:
-    """(sid, tau, x, y): samples and what follows tau later, for every lag at once. lags may be a
-    table (sid, tau_max). The series travels as one array, so this needs no join of samples."""
+def _by_lag(series: DataFrame, lags: DataFrame | range | list[int]) -> DataFrame:
+    """(sid, s, tau): each series as one array, a row for each of its lags."""
     whole = series.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("s"))
     if isinstance(lags, DataFrame):
         whole = whole.join(lags, "sid").withColumn("tau", F.explode(F.when(F.col("tau_max") >= 1, F.sequence(F.lit(1), "tau_max")).otherwise(F.array().cast("array<int>"))))
     else:
         whole = whole.withColumn("tau", F.explode(F.array(*map(F.lit, lags))))
-    whole = whole.where("size(s) > tau")
-    return whole.select("sid", "tau", F.expr("inline(transform(sequence(0, size(s) - tau - 1), i -> struct(s[i] as x, s[i + tau] as y)))"))
+    return whole.where("size(s) > tau").select("sid", "s", "tau")
+
+
+def lagged(series: DataFrame, lags: DataFrame | range | list[int]) -> DataFrame:
+    """(sid, tau, x, y): samples and what follows tau later, for every lag at once. lags may be a
+    table (sid, tau_max). The series travels as one array, so this needs no join of samples."""
+    return _by_lag(series, lags).select("sid", "tau", F.expr("inline(transform(sequence(0, size(s) - tau - 1), i -> struct(s[i] as x, s[i + tau] as y)))"))
+
+
+def lagged_by_join(series: DataFrame, lags: list[int]) -> DataFrame:
+    """The same for series too long for one array: samples meet those tau later by (sid, t)."""
+    a = series.withColumn("tau", F.explode(F.array(*map(F.lit, lags)))).select("sid", "tau", (F.col("t") + F.col("tau")).alias("t"), "x")
+    return a.join(series.select("sid", "t", F.col("x").alias("y")), ["sid", "t"]).select("sid", "tau", "x", "y")
 
 
 def _bucket(v: Column, lo: Column, hi: Column, bins: Column) -> Column:
@@ -55,32 +65,34 @@ def _bucket(v: Column, lo: Column, hi: Column, bins: Column) -> Column:
     return F.when(hi > lo, F.least(bins - 1, F.floor((v - lo) / F.when(hi > lo, hi - lo) * bins))).otherwise(F.floor(bins / 2)).cast("int")
 
 
+def _n_bins(n: Column, bins: int | None) -> Column:
+    return F.lit(bins) if bins else F.least(F.lit(15), F.greatest(F.lit(3), F.floor(F.cbrt(n)).cast("int")))
+
+
+def _information(cells: DataFrame, dims: int, keys: tuple[str, ...], pseudo: float) -> DataFrame:
+    """(keys, mi) from cells (keys, n, B, bx, by, c): counts of joint bins, and with them both axes' in one
+    pass. Every cell has pseudo added; the empty ones, of which there may be very many, are
+    summed in closed form."""
+    nothing = F.lit(None).cast("array<int>")
+    views = F.array(*(F.struct(F.lit(k).alias("view"), a.alias("cx"), b.alias("cy")) for k, (a, b) in enumerate(((F.col("bx"), F.col("by")), (F.col("bx"), nothing), (nothing, F.col("by"))))))
+    seen = cells.select(*keys, "n", "B", "c", F.explode(views).alias("v")).groupBy(*keys, "n", "B", "v.view", "v.cx", "v.cy").agg(F.sum("c").alias("c"))
+    all_cells = F.pow(F.col("B").cast("double"), F.when(F.col("view") == 0, 2 * dims).otherwise(dims))
+    total = F.col("n") + all_cells * pseudo
+    p, p0 = (F.col("c") + pseudo) / total, F.lit(pseudo) / total
+    # All cells of a view as if they were empty; those seen give their own term instead.
+    full = lambda v: F.sum(F.when(F.col("view") == v, p * F.log2(p) - p0 * F.log2(p0))) + F.first(F.when(F.col("view") == v, all_cells * p0 * F.log2(p0)), ignorenulls=True)
+    return seen.groupBy(*keys).agg((full(0) - full(1) - full(2)).alias("mi"))
+
+
 def mutual_information(pairs: DataFrame, dims: int = 1, keys: tuple[str, ...] = ("sid", "tau"), bins: int | None = None, pseudo: float = 1e-12) -> DataFrame:
     """(keys, mi): information (bits) that x and y share, by histograms of min(15, max(3, cbrt n))
-    equal bins an axis, or of bins. Every cell has pseudo added; the empty ones, of which there may
-    be very many, are summed in closed form."""
-    w = W.partitionBy(*keys)
-    cols = [("x", k) for k in range(dims)] + [("y", k) for k in range(dims)]
-    rows = pairs.withColumn("n", F.count(F.lit(1)).over(w))
-    b = F.lit(bins) if bins else F.least(F.lit(15), F.greatest(F.lit(3), F.floor(F.cbrt(F.col("n"))).cast("int")))
-    rows = rows.withColumn("B", b)
-    for c, k in cols:
-        v = F.col(c)[k]
-        rows = rows.withColumn(f"b{c}{k}", _bucket(v, F.min(v).over(w), F.max(v).over(w), F.col("B")))
-    axes = [f"b{c}{k}" for c, k in cols]
-    cells = rows.groupBy(*keys, "n", "B", *axes).agg(F.count(F.lit(1)).alias("c"))
-
-    def entropy(part: list[str], name: str) -> DataFrame:
-        own = cells.groupBy(*keys, "n", "B", *part).agg(F.sum("c").alias("c"))
-        all_cells = F.pow(F.col("B").cast("double"), len(part))
-        total = F.col("n") + all_cells * pseudo
-        p, p0 = (F.col("c") + pseudo) / total, F.lit(pseudo) / total
-        full = F.sum(p * F.log2(p)) + F.first((all_cells) * p0 * F.log2(p0)) - F.sum(p0 * F.log2(p0))
-        return own.groupBy(*keys).agg(full.alias(name))
-
-    x, y = axes[:dims], axes[dims:]
-    joined = entropy(axes, "hxy").join(entropy(x, "hx"), list(keys)).join(entropy(y, "hy"), list(keys))
-    return joined.select(*keys, (F.col("hxy") - F.col("hx") - F.col("hy")).alias("mi"))
+    equal bins an axis, or of bins."""
+    ends = [f(F.col(c)[k]).alias(f"{f.__name__}_{c}{k}") for c in "xy" for k in range(dims) for f in (F.min, F.max)]
+    bounds = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends)
+    rows = pairs.join(bounds, list(keys)).withColumn("B", _n_bins(F.col("n"), bins))
+    axis = lambda c: F.array(*(_bucket(F.col(c)[k], F.col(f"min_{c}{k}"), F.col(f"max_{c}{k}"), F.col("B")) for k in range(dims)))
+    cells = rows.groupBy(*keys, "n", "B", axis("x").alias("bx"), axis("y").alias("by")).agg(F.count(F.lit(1)).alias("c"))
+    return _information(cells, dims, keys, pseudo)
 
 
 def mutual_information_avg(pairs: DataFrame, dims: int, keys: tuple[str, ...] = ("sid", "tau"), **kw) -> DataFrame:
@@ -90,6 +102,21 @@ def mutual_information_avg(pairs: DataFrame, dims: int, keys: tuple[str, ...] =
     return mutual_information(flat, 1, (*keys, "ch"), **kw).groupBy(*keys).agg(F.avg("mi").alias("mi"))
 
 
+def _lag_cells(rows: DataFrame, dims: int, keys: tuple[str, ...], bins: int | None) -> DataFrame:
+    """Counts of joint bins of each row (keys, s, tau): bounds and bins are worked out in the row, so no
+    window over the lagged pairs, and no exchange of them, is needed."""
+    n = F.expr("size(s) - tau")
+    own = rows.select(*keys, "s", "tau", n.alias("n"), _n_bins(n, bins).alias("B"))
+    part = {"x": "slice(s, 1, n)", "y": "slice(s, tau + 1, n)"}
+    ends = [F.expr(f"array_{f}(transform({part[c]}, v -> v[{k}]))").alias(f"{f}_{c}{k}") for c in "xy" for k in range(dims) for f in ("min", "max")]
+    own = own.select("*", *ends)
+    v = lambda c, k: f"s[i{' + tau' if c == 'y' else ''}][{k}]"
+    one = lambda c, k: f"cast(case when max_{c}{k} > min_{c}{k} then least(B - 1, floor(({v(c, k)} - min_{c}{k}) / (max_{c}{k} - min_{c}{k}) * B)) else floor(B / 2) end as int)"
+    axis = lambda c: "array(" + ", ".join(one(c, k) for k in range(dims)) + ")"
+    cells = own.select(*keys, "n", "B", F.expr(f"inline(transform(sequence(0, n - 1), i -> struct({axis('x')} as bx, {axis('y')} as by)))"))
+    return cells.groupBy(*keys, "n", "B", "bx", "by").agg(F.count(F.lit(1)).alias("c"))
+
+
 def max_lag(series: DataFrame) -> DataFrame:
     """(sid, tau_max): lags that are tried, min(100, n / 4) - 1 and at least 1."""
     return series.groupBy("sid").agg(F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.count(F.lit(1)) / 4).cast("int")) - 1).alias("tau_max"))
@@ -97,10 +124,14 @@ def max_lag(series: DataFrame) -> DataFrame:
 
 def mi_curve(series: DataFrame, dims: int = 1, method: str = "histdd", lags: DataFrame | list[int] | None = None, bins: int | None = None, pseudo: float = 1e-12) -> DataFrame:
     """(sid, tau, mi) for all lags."""
-    pairs = lagged(series, max_lag(series) if lags is None else lags)
+    if method not in ("histdd", "avg"):
+        raise ValueError(f"Unknown method of mutual information: {method}")
+    rows = _by_lag(series, max_lag(series) if lags is None else lags)
     if method == "avg" and dims > 1:
-        return mutual_information_avg(pairs, dims, bins=bins, pseudo=pseudo)
-    return mutual_information(pairs, dims, bins=bins, pseudo=pseudo)
+        per = rows.select("sid", "tau", F.explode(F.array(*(F.struct(F.lit(k).alias("ch"), F.expr(f"transform(s, v -> array(v[{k}]))").alias("s")) for k in range(dims)))).alias("p")).select("sid", "tau", "p.ch", "p.s")
+        keys = ("sid", "tau", "ch")
+        return _information(_lag_cells(per.select("sid", "ch", "s", "tau"), 1, keys, bins), 1, keys, pseudo).groupBy("sid", "tau").agg(F.avg("mi").alias("mi"))
+    return _information(_lag_cells(rows, dims, ("sid", "tau"), bins), dims, ("sid", "tau"), pseudo)
 
 
 def first_rise(curve: DataFrame, series: DataFrame) -> DataFrame:
@@ -125,12 +156,13 @@ def delay_legacy(series: DataFrame, dims: int = 1) -> DataFrame:
     return n.join(rise, "sid", "left").select("sid", F.coalesce("tau", F.col("tau_max") - 1).cast("int").alias("tau"))
 
 
-def first_minimum(curve: DataFrame, order: str, value: str, key: str = "sid") -> DataFrame:
+def first_minimum(curve: DataFrame, order: str, value: str, key: str = "sid", legacy: bool = False) -> DataFrame:
     """(key, first_min): the place of the first local minimum, or of the lowest value. Ends count
-    where they are lower than their one neighbour."""
+    where they are lower than their one neighbour; in the older form the last one does not."""
     w = W.partitionBy(key).orderBy(order)
     near = curve.select(key, (F.row_number().over(w) - 1).alias("at"), F.col(value).alias("v"), F.lag(value).over(w).alias("p"), F.lead(value).over(w).alias("q"))
-    low = ((F.col("p").isNull()) | (F.col("v") < F.col("p"))) & ((F.col("q").isNull()) | (F.col("v") < F.col("q")))
+    end = F.col("q").isNull() & (F.lit(not legacy) | F.col("p").isNull())
+    low = ((F.col("p").isNull()) | (F.col("v") < F.col("p"))) & (end | (F.col("v") < F.col("q")))
     return near.groupBy(key).agg(F.coalesce(F.min(F.when(low, F.col("at"))), F.min_by("at", F.struct("v", "at"))).cast("int").alias("first_min"))
 
 
