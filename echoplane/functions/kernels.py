@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 
@@ -291,6 +292,16 @@ def integrate(f, start: np.ndarray, times: np.ndarray, substep: float = 0.001) -
     return np.stack(out)
 
 
+def euler(system: str, steps: int, dt: float, params: dict, start) -> np.ndarray:
+    """(steps, batch, 3) by explicit Euler steps, the first row being the start."""
+    f, _ = FLOWS[system]
+    s, out = np.array(start, float), []
+    for _ in range(steps):
+        out.append(s)
+        s = s + dt * f(s, params)
+    return np.stack(out)
+
+
 def flow(system: str, n: int, tmax: int, dt: float, params: dict[str, np.ndarray], start: np.ndarray) -> np.ndarray:
     """(n, batch, 3): every (tmax // n)-th of tmax samples dt apart."""
     f, _ = FLOWS[system]
@@ -324,38 +335,55 @@ def kuramoto(n: int, n_osc: int, coupling: float, omega_sd: float, tmax: float,
 # ------------------------------------------------------------------ curves and bootstraps
 
 
-def polynomial_degree(x: np.ndarray, y: np.ndarray, top: int = 10, folds: int = 5, repeats: int = 3, seed: int = 1) -> int:
-    """The degree with the least mean squared error over repeated folds; ties take the lowest."""
-    n, rng = len(x), np.random.default_rng(seed)
-    folds = max(2, min(folds, n))
-    scale = (x - x.mean()) / (x.std() or 1)
-    parts = [p for _ in range(repeats) for p in np.array_split(rng.permutation(n), folds)]
-    best = (math.inf, 1)
-    for degree in range(1, min(n - 1, top) + 1):
-        errors = []
-        for out in parts:
-            rest = np.setdiff1d(np.arange(n), out)
-            fit = np.polynomial.Polynomial.fit(scale[rest], y[rest], min(degree, len(rest) - 1))
-            errors.append(np.mean((fit(scale[out]) - y[out]) ** 2))
-        best = min(best, (round(float(np.mean(errors)), 12), degree))
+def repeated_folds(n: int, folds: int, repeats: int, seed: int = 1):
+    """Training and test rows of repeated folds over shuffled rows, in the established order of draws."""
+    rng = np.random.RandomState(seed)
+    for _ in range(repeats):
+        rows = np.arange(n)
+        rng.shuffle(rows)
+        for part in np.array_split(rows, folds):
+            out = np.zeros(n, bool)
+            out[part] = True
+            yield np.flatnonzero(~out), np.flatnonzero(out)
+
+
+def polynomial_degree(x: np.ndarray, y: np.ndarray, legacy: bool = False) -> int:
+    """The degree with the least root mean squared error over repeated folds; ties take the lowest. Degrees
+    go up to min(n - 1, 10) over 5 folds, 3 times; in the older form up to n over 10 folds, 10 times."""
+    n = len(x)
+    if n < 3 and not legacy:
+        return 1
+    folds, repeats, top = (10, 10, n) if legacy else (min(5, n), 3, min(n - 1, 10))
+    parts, best = list(repeated_folds(n, folds, repeats)), (math.inf, 1)
+    for degree in range(1, top + 1):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            errors = [np.mean((np.poly1d(np.polyfit(x[rest], y[rest], degree))(x[out]) - y[out]) ** 2) for rest, out in parts]
+        if (error := float(np.sqrt(np.mean(errors)))) < best[0]:
+            best = (error, degree)
     return best[1]
 
 
-def first_minimum(v: np.ndarray) -> int | None:
-    """The place of the first local minimum, ends included, or of the lowest value."""
+def first_minimum(v: np.ndarray, legacy: bool = False) -> int | None:
+    """The place of the first local minimum, ends included, or of the lowest value. The older form does
+    not look at the last value."""
     for k in range(len(v)):
-        if (k == 0 or v[k] < v[k - 1]) and (k == len(v) - 1 or v[k] < v[k + 1]):
+        last = k == len(v) - 1
+        if (k == 0 or v[k] < v[k - 1]) and (last and (k == 0 or not legacy) or not last and v[k] < v[k + 1]):
             return k
     return int(np.argmin(v)) if len(v) else None
 
 
 def bootstrap_width(p: np.ndarray, n_bar: int, statistic: str, n_boot: int, rng) -> float:
     """Distance of the 95 % and 5 % quantiles of a measure over n_boot samples of n_bar lines from the
-    distribution p over bins. Bin k stands for length k + 1, as in the established tables."""
+    distribution p over bins. Bin k stands for length k + 1, as in the established tables; "legacy average"
+    is the mean of all lines but the first, as the older average has it."""
     cdf = np.cumsum(p) / p.sum()
     draws = np.searchsorted(cdf, rng.random((n_boot, n_bar))) + 1
     if statistic == "percent":
         values = (draws > 1).mean(axis=1)
+    elif statistic == "legacy average":
+        values = draws[:, 1:].mean(axis=1) if n_bar > 1 else np.full(n_boot, math.nan)
     else:
         longer = draws > 1
         values = np.where(longer.any(axis=1), (draws * longer).sum(axis=1) / np.maximum(longer.sum(axis=1), 1), 0.0)

@@ -5,7 +5,6 @@ its result."""
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
+from ..functions.hashrng import HashRng
 from . import information, windows
 
 
-def seed_of(*key) -> np.random.Generator:
-    return np.random.default_rng(zlib.crc32(repr(key).encode()))
+#: Replicates that are made of a series in a row.
+BLOCK = 25
+
+
+def seed_of(*key) -> HashRng:
+    return HashRng(*key)
 
 
 def _by_channel(pdf: pd.DataFrame) -> np.ndarray:
@@ -25,19 +29,26 @@ def _by_channel(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def surrogates(series: DataFrame, kind: str, n: int = 200, seed: int = 42, legacy: bool = False) -> DataFrame:
-    """(sid, kind, rep, t, x): n surrogates of each series. Replicates are dealt to tasks of their own."""
+    """(sid, kind, rep, t, x): n surrogates of each series."""
     table = k.LEGACY_SURROGATES if legacy else k.SURROGATES
     if kind not in table:
         raise KeyError(f"Unknown surrogate kind: {kind}")
     make, sid_type = table[kind], series.schema["sid"].dataType.simpleString()
 
-    def run(key, pdf):
-        rng, x = seed_of(seed, kind, *key), _by_channel(pdf)
-        out = np.stack([make(x[:, c], rng) for c in range(x.shape[1])], axis=1)
-        return pd.DataFrame({"sid": key[0], "kind": kind, "rep": key[1], "t": np.arange(len(out)), "x": list(out)})
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                x = np.stack(r.xs).astype(float)
+                for rep in range(r.block * BLOCK, min(n, (r.block + 1) * BLOCK)):
+                    rng = seed_of(seed, kind, r.sid, rep)
+                    out = np.stack([make(x[:, c], rng) for c in range(x.shape[1])], axis=1)
+                    yield pd.DataFrame({"sid": r.sid, "kind": kind, "rep": rep, "t": np.arange(len(out)), "x": list(out)})
 
-    reps = series.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return reps.groupBy("sid", "rep").applyInPandas(run, f"sid {sid_type}, kind string, rep int, t int, x array<double>")
+    # A series travels once for each BLOCK of its replicates, as one row.
+    whole = series.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("xs"))
+    work = whole.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, (n - 1) // BLOCK)))))
+    work = work.repartition("sid", "block") if n > BLOCK else work
+    return work.select("sid", "block", "xs").mapInPandas(run, f"sid {sid_type}, kind string, rep int, t int, x array<double>")
 
 
 def pink_filter(series: DataFrame, threshold: float = 0.5, cutoff: float = 0.05, order: int = 4) -> DataFrame:
@@ -175,20 +186,23 @@ def battery(spark: SparkSession, n: int = 2000) -> DataFrame:
     return out
 
 
-def delay_polynomial(series: DataFrame, dims: int = 1) -> DataFrame:
+def delay_polynomial(series: DataFrame, dims: int = 1, legacy: bool = False) -> DataFrame:
     """(sid, tau): the first minimum of a polynomial, of cross-validated degree, through the curve of
-    mutual information."""
-    curve = information.mi_curve(series, dims)
+    mutual information. The older form takes lags from 2 to n - 1, 15 bins and pseudo-counts of 1e-9."""
+    if legacy:
+        lags = series.groupBy("sid").agg((F.count(F.lit(1)) - 1).cast("int").alias("tau_max"))
+        curve = information.mi_curve(series, dims, lags=lags, bins=15, pseudo=1e-9).where("tau >= 2")
+    else:
+        curve = information.mi_curve(series, dims)
     sid_type = series.schema["sid"].dataType.simpleString()
 
     def run(key, pdf):
         pdf = pdf.sort_values("tau")
         x, y = pdf["tau"].to_numpy(float), pdf["mi"].to_numpy(float)
-        if len(x) < 3:
+        if len(x) < (10 if legacy else 3):
             return pd.DataFrame({"sid": [key[0]], "tau": [1]})
-        z = (x - x.mean()) / x.std()
-        fit = np.polynomial.Polynomial.fit(z, y, k.polynomial_degree(x, y))
-        return pd.DataFrame({"sid": [key[0]], "tau": [int(x[k.first_minimum(fit(z))])]})
+        fit = np.poly1d(np.polyfit(x, y, k.polynomial_degree(x, y, legacy)))
+        return pd.DataFrame({"sid": [key[0]], "tau": [int(x[k.first_minimum(fit(x), legacy)])]})
 
     return curve.groupBy("sid").applyInPandas(run, f"sid {sid_type}, tau int")
 
@@ -197,14 +211,24 @@ def delay_polynomial(series: DataFrame, dims: int = 1) -> DataFrame:
 SENSITIVITY = {"determinism": ("diag", "percent"), "laminarity": ("vert", "percent"), "average_diagonal_length": ("diag", "average"), "average_vertical_length": ("vert", "average")}
 
 
-def window_sensitivity(series: DataFrame, measure: str, sizes: list[int], n_boot: int = 1000, seed: int = 42, **kw) -> DataFrame:
-    """(sid, window_size, ci_width): how uncertain a measure is in windows of each size."""
-    if measure not in SENSITIVITY:
+#: The same for the older names.
+LEGACY_SENSITIVITY = {"percent_det": ("diag", "percent"), "percent_lam": ("vert", "percent"), "avg_diag": ("diag", "legacy average"), "avg_vert": ("vert", "legacy average")}
+
+
+def window_sensitivity(series: DataFrame, measure: str, sizes: list[int] | None = None, n_boot: int = 1000, seed: int = 42, legacy: bool = False, **kw) -> DataFrame:
+    """(sid, window_size, ci_width): how uncertain a measure is in windows of each size. The older form
+    counts the main diagonal and zeros as lines too, and takes sizes from 20 on, 10 apart, below
+    each plot's side, if none are given."""
+    table = LEGACY_SENSITIVITY if legacy else SENSITIVITY
+    if measure not in table:
         raise ValueError(f"Unknown measure: {measure}")
-    kind, statistic = SENSITIVITY[measure]
+    kind, statistic = table[measure]
+    if sizes is None:
+        longest = series.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        sizes = list(range(20, longest - (kw.get("m", 1) - 1) * kw.get("tau", 1), 10))
     sid_type, pooled = series.schema["sid"].dataType.simpleString(), None
     for w in sizes:
-        one = windows.pooled_histogram(series, w, kind, **kw).withColumn("window_size", F.lit(w))
+        one = windows.pooled_histogram(series, w, kind, legacy=legacy, **kw).withColumn("window_size", F.lit(w))
         pooled = one if pooled is None else pooled.unionByName(one)
 
     def run(key, pdf):
@@ -212,4 +236,27 @@ def window_sensitivity(series: DataFrame, measure: str, sizes: list[int], n_boot
         p[pdf["len"].to_numpy(int)] = pdf["p"]
         return pd.DataFrame({"sid": [key[0]], "window_size": [key[1]], "ci_width": [k.bootstrap_width(p, int(pdf["n_bar"].iloc[0]), statistic, n_boot, seed_of(seed, *key))]})
 
-    return pooled.groupBy("sid", "window_size").applyInPandas(run, f"sid {sid_type}, window_size int, ci_width double")
+    out = f"sid {sid_type}, window_size int, ci_width double"
+    if pooled is None:
+        return series.sparkSession.createDataFrame([], out)
+    return pooled.groupBy("sid", "window_size").applyInPandas(run, out)
+
+
+def window_sensitivity_groups(series: DataFrame, measure: str, n_boot: int = 1000, **kw) -> DataFrame:
+    """The older table over a collection: window_size, ci_width and the group, the part of sid before "-"."""
+    out = window_sensitivity(series, measure, None, n_boot, legacy=True, **kw)
+    return out.withColumn("group", F.substring_index(F.col("sid").cast("string"), "-", 1))
+
+
+def simulate_euler(params: DataFrame, system: str = "rossler", steps: int = 10_000, dt: float = 1e-4) -> DataFrame:
+    """(sid, t, x) of a flow by explicit Euler steps, for each row of params as `simulate` takes them."""
+    defaults, sid_type = DEFAULTS[system], params.schema["sid"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            p = {c: pdf[c].to_numpy(float) if c in pdf else np.full(len(pdf), float(v)) for c, v in defaults.items()}
+            out = k.euler(system, steps, dt, p, np.tile(np.array(k.STARTS[system]), (len(pdf), 1)))
+            for i, s in enumerate(pdf["sid"]):
+                yield pd.DataFrame({"sid": s, "t": np.arange(steps), "x": list(out[:, i])})
+
+    return params.mapInPandas(run, f"sid {sid_type}, t int, x array<double>")

@@ -74,14 +74,23 @@ def pick(windowed: DataFrame, measure: str, how: str) -> DataFrame:
     return windowed.groupBy("sid").agg(made[how].alias(measure))
 
 
-def pooled_histogram(series: DataFrame, window: int, kind: str = "diag", **kw) -> DataFrame:
+def pooled_histogram(series: DataFrame, window: int, kind: str = "diag", legacy: bool = False, **kw) -> DataFrame:
     """(sid, len, p, n_bar): mean of all windows' normalised histograms (bins of length 0 included),
-    itself normalised, and the mean number of lines in a window, at least 1."""
+    itself normalised, and the mean number of lines in a window, at least 1. In the older form a
+    window's main diagonal and the zeros of its lower triangle, doubled, are diagonal lines too."""
     hist = windowed_histogram(series, window, 1, **kw).where(F.col("kind") == kind)
     own = hist.select("sid", "window_start", "len", "cnt")
     if kind == "vert":
         sums = hist.groupBy("sid", "window_start").agg(F.sum(F.col("len") * F.col("cnt")).alias("ones"), F.sum("cnt").alias("runs"))
         own = own.union(sums.select("sid", "window_start", F.lit(0), F.lit(window * window + window) - F.col("ones") - F.col("runs")))
+    elif legacy:
+        # Lower triangle with its diagonal: runs and ones of one triangle, and the diagonal's own.
+        all_windows = windowed_histogram(series, window, 1, **kw).groupBy("sid", "window_start").agg(
+            F.coalesce(F.sum(F.when(F.col("kind") == "diag", F.col("len") * F.col("cnt"))), F.lit(0)).alias("ones"),
+            F.coalesce(F.sum(F.when(F.col("kind") == "diag", F.col("cnt"))), F.lit(0)).alias("runs"),
+        )
+        zeros = F.lit(window * (window + 1)) - (F.col("ones") + 2 * window) - (F.col("runs") + 2) + 2 * window
+        own = own.union(all_windows.select("sid", "window_start", F.lit(window), F.lit(1).cast("long"))).union(all_windows.select("sid", "window_start", F.lit(0), zeros)).where("cnt > 0")
     total = own.groupBy("sid", "window_start").agg(F.sum("cnt").alias("s"))
     share = own.join(total, ["sid", "window_start"]).groupBy("sid", "len").agg(F.sum(F.col("cnt") / F.col("s")).alias("p"))
     windows = series.groupBy("sid").agg((F.count(F.lit(1)) - (kw.get("m", 1) - 1) * kw.get("tau", 1) - window + 1).alias("w"))
