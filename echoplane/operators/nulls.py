@@ -38,6 +38,12 @@ def surrogate_features(series: DataFrame, kinds: tuple[str, ...], n: int, seed:
     return table.select(key["kind"].alias("kind"), key["rep"].alias("rep"), key["s"].alias("id"), *(c for c in table.columns if c != "id"))
 
 
+def _vectors(table: DataFrame) -> DataFrame:
+    """(kind, rep, id, [label], features) of surrogates' feature tables."""
+    keyed = table.withColumn("id", F.struct("kind", "rep", "id")).drop("kind", "rep")
+    return ft.feature_vectors(keyed)[0].select("id.kind", "id.rep", "id.id", *(c for c in ("label",) if c in table.columns), "features")
+
+
 def _summary(real: DataFrame, null: DataFrame, keys: tuple[str, ...], side: str, correction: str, alpha: float) -> DataFrame:
     p = stats.rank_p_value(real, null, keys, side=side)
     d = stats.cohens_d(real, null, keys)
@@ -58,13 +64,9 @@ def surrogate_null(series: DataFrame, labels: DataFrame, kinds: tuple[str, ...]
     own = ft.feature_table(series, **kw).withColumn("id", F.col("id").cast("string")).join(labels, "id")
     long = lambda df, *keys: df.groupBy(*keys).agg(*(F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in ("accuracy", "roc_auc"))).unpivot(list(keys), ["accuracy", "roc_auc"], "metric", "value")
     real_cv = benchmarks.nested_cv(ft.feature_vectors(own)[0], model, outer, seed=seed, **cv)
-    fake = surrogate_features(series, kinds, n, seed, **kw).join(labels, "id").persist()
-    null = None
-    for kind in kinds:
-        for rep in range(n):
-            part = fake.where((F.col("kind") == kind) & (F.col("rep") == rep)).drop("kind", "rep")
-            one = benchmarks.nested_cv(ft.feature_vectors(part)[0], model, outer, seed=seed, **cv).withColumn("kind", F.lit(kind)).withColumn("rep", F.lit(rep))
-            null = one if null is None else null.unionByName(one)
+    # Kind and replicate are keys of the work: all surrogate data sets are judged in one job.
+    fake = _vectors(surrogate_features(series, kinds, n, seed, **kw).join(labels, "id"))
+    null = benchmarks.nested_cv(fake, model, outer, seed=seed, keys=("kind", "rep"), **cv)
     real = long(real_cv, "model").drop("model").crossJoin(series.sparkSession.createDataFrame([(k, HYPOTHESES[k]) for k in kinds], "kind string, null_hypothesis string"))
     return _summary(real, long(null, "kind", "rep").drop("rep"), ("kind", "metric"), "greater", correction, alpha)
 
@@ -80,12 +82,7 @@ def surrogate_cluster_null(series: DataFrame, kinds: tuple[str, ...] = ("FT", "A
 
     own = ft.feature_table(series, **kw)
     real = best(benchmarks.cluster_sweep(ft.feature_vectors(own)[0], methods, ks, seed))
-    fake, null = surrogate_features(series, kinds, n, seed, **kw).persist(), None
-    for kind in kinds:
-        for rep in range(n):
-            part = fake.where((F.col("kind") == kind) & (F.col("rep") == rep)).drop("kind", "rep")
-            one = benchmarks.cluster_sweep(ft.feature_vectors(part)[0], methods, ks, seed).withColumn("kind", F.lit(kind)).withColumn("rep", F.lit(rep))
-            null = one if null is None else null.unionByName(one)
+    null = benchmarks.cluster_sweep(_vectors(surrogate_features(series, kinds, n, seed, **kw)), methods, ks, seed, keys=("kind", "rep"))
     null = best(null, "kind", "rep").drop("rep")
     real = real.crossJoin(series.sparkSession.createDataFrame([(k, HYPOTHESES[k]) for k in kinds], "kind string, null_hypothesis string"))
     low = F.col("metric") == "davies_bouldin"
