@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .recurrence import distance
+from ..plans.materialise import materialised
 
 
 def rank_p_value(real: DataFrame, null: DataFrame, keys: tuple[str, ...], value: str = "value", side: str = "greater") -> DataFrame:
@@ -69,13 +73,19 @@ def classification_scores(pred: DataFrame, keys: tuple[str, ...] = (), y: str =
 
 
 def roc_auc(pred: DataFrame, score: str, positive: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, auc) by average ranks; null where one class is missing."""
+    """(keys, auc) by average ranks; null where one class is missing. Scores are dealt to partitions by
+    range: ranks run within a partition, on top of the counts of those before it."""
     part = keys or ("_all",)
     one = pred.withColumn("_all", F.lit(0)).select(*part, F.col(score).alias("s"), positive.cast("int").alias("p"))
-    # Ranks from counts of each score: the rows themselves are never sorted in one task.
     per = one.groupBy(*part, "s").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("np"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(*part).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("r", before + (F.col("n") + 1) / 2.0)
+    # Written, for a range's number must not change when it is read again.
+    per = materialised(per.repartitionByRange(*part, "s").withColumn("_range", F.spark_partition_id()))
+    ranges = per.groupBy(*part, "_range").agg(F.sum("n").alias("c"))
+    so_far = W.partitionBy(*part).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(*part, "_range", F.coalesce(F.sum("c").over(so_far), F.lit(0)).alias("offset"))
+    within = W.partitionBy(*part, "_range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    ranked = per.join(ranges, [*part, "_range"]).withColumn("r", before + (F.col("n") + 1) / 2.0)
     total = ranked.groupBy(*part).agg(F.sum(F.col("np") * F.col("r")).alias("rs"), F.sum("np").alias("p"), F.sum("n").alias("n"))
     auc = F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * (F.col("n") - F.col("p")))
     return total.select(*keys, auc.alias("auc"))
@@ -128,32 +138,96 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
     return ratio.groupBy("la").agg(F.max("r").alias("r")).agg(F.avg("r").alias("score"))
 
 
-def silhouette(points: DataFrame, block: int = 64, width: int | None = None) -> DataFrame:
-    """(score): mean silhouette by Euclidean distances; a point alone in its cluster scores 0.
-
-    Every point meets every other, by definition: points are dealt to blocks, and pairs of
-    blocks are the join key, so the work spreads over all tasks."""
-    p = points.select("id", "label", "features").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(block)))
-    every = F.sequence(F.lit(0), F.lit(block - 1))
-    a = p.select(F.col("id").alias("ia"), F.col("label").alias("la"), F.col("features").alias("fa"), F.col("b").alias("p"), F.explode(every).alias("q"))
-    b = p.select(F.col("id").alias("ib"), F.col("label").alias("lb"), F.col("features").alias("fb"), F.col("b").cast("int").alias("q"))
-    d = distance(width, "fa", "fb")  # compiled where the number of features is given
-    to = a.join(b, "q").where("ia <> ib").groupBy("ia", "la", "lb").agg(F.avg(d).alias("m"))
+#: Points in a block, at most: a task holds two blocks and their distances, slice by slice.
+BLOCK_POINTS = 4096
+
+
+def _cells(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
+    """run(left rows, right rows) for every pair of a block of left and a block of right, each pair in a task
+    of its own. Every point meets every other, by definition; numbers of wide vectors are compared in
+    arrays, for an expression of so many terms is past what the JVM compiles."""
+    spark = left.sparkSession
+    least = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+    n_p, n_q = (max(least, math.ceil(df.count() / BLOCK_POINTS)) for df in (left, right))
+    own = lambda df, n: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("_p", own(left, n_p)).withColumn("_q", every(n_q))
+    b = right.withColumn("_q", own(right, n_q)).withColumn("_p", every(n_p))
+    cell = lambda x, y: run(x, y) if x.num_rows and y.num_rows else run.none
+    return a.groupBy("_p", "_q").cogroup(b.groupBy("_p", "_q")).applyInArrow(cell, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), float).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray):
+    """(from, distances) of slices of x to all of y."""
+    step = max(1, (1 << 22) // max(1, y.size))
+    for s in range(0, len(x), step):
+        yield s, np.sqrt(((x[s : s + step, None] - y[None]) ** 2).sum(axis=2))
+
+
+def silhouette(points: DataFrame) -> DataFrame:
+    """(score): mean silhouette by Euclidean distances; a point alone in its cluster scores 0."""
+    p = points.select("id", "label", "features")
+    kinds = [p.schema[c].dataType.simpleString() for c in ("id", "label")]
+    names = ["ia", "la", "lb", "total", "n"]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids, own = x.column("id").combine_chunks(), x.column("label").combine_chunks()
+        codes = y.column("label").combine_chunks().dictionary_encode()
+        code, k = codes.indices.to_numpy(), len(codes.dictionary)
+        where = {v: i for i, v in enumerate(ids.to_pylist())}
+        same = [(where[v], j) for j, v in enumerate(y.column("id").to_pylist()) if v in where]
+        total, n = np.zeros((x.num_rows, k)), np.tile(np.bincount(code, minlength=k), (x.num_rows, 1))
+        hot = np.eye(k)[code]
+        fy = _matrix(y.column("features"))
+        for s, d in _distances(_matrix(x.column("features")), fy):
+            total[s : s + len(d)] = d @ hot
+        for i, j in same:  # a point is not its own neighbour; its distance to itself is 0
+            n[i, code[j]] -= 1
+        i, c = np.nonzero(n)
+        return pa.table([ids.take(pa.array(i)), own.take(pa.array(i)), codes.dictionary.take(pa.array(c)), pa.array(total[i, c]), pa.array(n[i, c])], names=names)
+
+    types = [pa.int64() if k == "bigint" else pa.int32() if k == "int" else pa.string() for k in kinds]
+    run.none = pa.table([pa.array([], t) for t in (types[0], types[1], types[1], pa.float64(), pa.int64())], names=names)
+    to = _cells(p, p, run, f"ia {kinds[0]}, la {kinds[1]}, lb {kinds[1]}, total double, n long").groupBy("ia", "la", "lb").agg((F.sum("total") / F.sum("n")).alias("m"))
     per = to.groupBy("ia").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return per.agg(F.avg(s).alias("score"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, leave_one_out: bool = False, width: int | None = None) -> DataFrame:
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, leave_one_out: bool = False) -> DataFrame:
     """(id, yhat): the most frequent label of the k nearest training points (ties: nearest id first,
-    least label); leave_one_out keeps a point from voting for itself. The training set is dealt to
-    the tasks in blocks, which keep their k best."""
-    blocks = 16
-    a = test.select("id", F.col("features").alias("fa"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    b = train.select(F.col("id").alias("tid"), "label", F.col("features").alias("fb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    d = distance(width, "fa", "fb")  # compiled where the number of features is given
-    near = a.join(b, "b").where("id <> tid" if leave_one_out else "true").select("id", "tid", "label", "b", d.alias("d"))
-    best = near.withColumn("r", F.row_number().over(W.partitionBy("id", "b").orderBy("d", "tid"))).where(F.col("r") <= k)
+    least label); leave_one_out keeps a point from voting for itself. A pair of blocks keeps each
+    test point's k best."""
+    a, b = test.select("id", "features"), train.select(F.col("id").alias("tid"), "label", F.col("features").alias("f"))
+    kinds = [a.schema["id"].dataType.simpleString(), b.schema["tid"].dataType.simpleString(), b.schema["label"].dataType.simpleString()]
+    names = ["id", "tid", "label", "d"]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("tid")  # a stable sort then takes equal distances by id
+        ids, tids = x.column("id").to_pylist(), y.column("tid").to_pylist()
+        where, fy = {v: j for j, v in enumerate(tids)}, _matrix(y.column("f"))
+        rows, cols, dist = [], [], []
+        for s, d in _distances(_matrix(x.column("features")), fy):
+            if leave_one_out:
+                for i in range(len(d)):
+                    if (j := where.get(ids[s + i])) is not None:
+                        d[i, j] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            i = np.repeat(np.arange(len(d)), near.shape[1])
+            ok = np.isfinite(d[i, near.ravel()])
+            rows.append(s + i[ok])
+            cols.append(near.ravel()[ok])
+            dist.append(d[i, near.ravel()][ok])
+        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        return pa.table([x.column("id").combine_chunks().take(i), y.column("tid").combine_chunks().take(j), y.column("label").combine_chunks().take(j), pa.array(np.concatenate(dist))], names=names)
+
+    types = [pa.int64() if t == "bigint" else pa.int32() if t == "int" else pa.string() for t in kinds]
+    run.none = pa.table([pa.array([], t) for t in (*types, pa.float64())], names=names)
+    best = _cells(a, b, run, f"id {kinds[0]}, tid {kinds[1]}, label {kinds[2]}, d double")
     best = best.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "tid"))).where(F.col("r") <= k)
     votes = best.groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("id").agg(F.min(F.struct(-F.col("n"), "label")).alias("v")).select("id", F.col("v.label").alias("yhat"))
