@@ -1,57 +1,16 @@
-"""Registry of the relational queries: name -> (spark, sf_dir) -> DataFrame, with DuckDB oracles."""
+"""The relational queries, with their DuckDB oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import kernels, special
-from ..ml import benchmarks
-from ..operators import embed, features, generate, information, lines, measures, nonlinear, nulls, parameters, plotdata, recurrence, series, stats, windows
+from ..functions import special
+from ..operators import embed, features, generate, information, lines, measures, nonlinear, parameters, plotdata, recurrence, series, stats, windows
 from ..sources import series as sources
 from . import oracles as o
 from .oracles import build, r
-
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, doubles rounded to six places and without negative zero."""
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType | T.FloatType | T.DecimalType):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
-        elif isinstance(f.dataType, T.IntegerType | T.ShortType | T.LongType):
-            c = c.cast("long")
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
-        if oracle:
-            ORACLE[name] = oracle
-        return f
-
-    return add
-
-
-def _z(spark, d) -> DataFrame:
-    return series.zscore(sources.ev_user(spark, d))
-
-
-def _z2(spark, d) -> DataFrame:
-    return series.zscore(sources.ev_user2(spark, d), 2)
-
-
-def _e2(spark, d) -> DataFrame:
-    return embed.delay_embed(_z(spark, d), 1, 2)
+from .registry import ORACLE, QUERIES, embedded as _e2, flat as _flat, points as _points, query, z as _z, z2 as _z2
 
 
 def _rp(spark, d):
@@ -59,11 +18,6 @@ def _rp(spark, d):
     return recurrence.recurrence_pairs(e, 0.5, 2), e
 
 
-def _flat(df: DataFrame, *names: str) -> DataFrame:
-    """x as columns of its own."""
-    return df.select("sid", "t", *(F.col("x")[k].alias(n) for k, n in enumerate(names)))
-
-
 # ------------------------------------------------------------------ samples
 
 
@@ -409,9 +363,7 @@ def _(spark, d):
 
 @query("fnn_r0", build(f"SELECT sid, m, {r('r0', 'r0')} FROM r0 WHERE m <= 3", "pz", "nz", **o.FNN))
 def _(spark, d):
-    z = _z(spark, d)
-    a, b, c = (parameters.fnn_zero(z, 1, m) for m in (1, 2, 3))
-    return a.unionByName(b).unionByName(c)
+    return parameters.fnn_zero_upto(_z(spark, d), 1, 3)
 
 
 @query("fnn_min_quantiles", build(f"SELECT m::BIGINT AS m, {r('quantile_cont(f, 0.025)', 'low')}, {r('quantile_cont(f, 0.975)', 'high')} FROM (SELECT m, sid, min(fnn) AS f FROM fc WHERE m <= 2 GROUP BY m, sid) GROUP BY m", "pz", "nz", **o.FNN))
@@ -519,13 +471,22 @@ def _(spark, d):
     return nonlinear.predictability(sources.ev_user(spark, d))
 
 
-@query("chi2_stationarity", build(
-    f"""SELECT sid, {r('sum(power(h - (ceil(n / 2) / n * q + 1e-9), 2) / (ceil(n / 2) / n * q + 1e-9))', 'chi2')} FROM (SELECT x.sid, b, x.n, coalesce(q, 0) AS q, coalesce(h, 0) AS h FROM (SELECT sid, n, b FROM nz CROSS JOIN range(0, 10) g(b)) x
-    LEFT JOIN (SELECT sid, b, count(*) AS q, sum(CASE WHEN t < ceil(n / 2) THEN 1 ELSE 0 END) AS h FROM (SELECT sid, t, n, least(9, floor((v - lo) / (hi - lo) * 10)) AS b FROM (SELECT *, min(v) OVER (PARTITION BY sid) AS lo, max(v) OVER (PARTITION BY sid) AS hi FROM ev JOIN nz USING (sid))) GROUP BY sid, b) y USING (sid, b)) GROUP BY sid""", "ev", "nz"))
+_CHI2 = "sum(power(h - (ceil(n / 2) / n * q + 1e-9), 2) / (ceil(n / 2) / n * q + 1e-9))"
+_CHI2_CELLS = """(SELECT x.sid, b, x.n, coalesce(q, 0) AS q, coalesce(h, 0) AS h FROM (SELECT sid, n, b FROM nz CROSS JOIN range(0, 10) g(b)) x
+    LEFT JOIN (SELECT sid, b, count(*) AS q, sum(CASE WHEN t < ceil(n / 2) THEN 1 ELSE 0 END) AS h FROM (SELECT sid, t, n, least(9, floor((v - lo) / (hi - lo) * 10)) AS b FROM (SELECT *, min(v) OVER (PARTITION BY sid) AS lo, max(v) OVER (PARTITION BY sid) AS hi FROM ev JOIN nz USING (sid))) GROUP BY sid, b) y USING (sid, b))"""
+
+
+@query("chi2_stationarity", build(f"SELECT sid, {r(_CHI2, 'chi2')} FROM {_CHI2_CELLS} GROUP BY sid", "ev", "nz"))
 def _(spark, d):
     return nonlinear.chi2_stationarity(sources.ev_user(spark, d))
 
 
+# The lower incomplete gamma function by its power series; 9 degrees of freedom.
+@query("chi2_p_value", build(f"SELECT sid, {r('chi2', 'chi2')}, {r('1 - list_sum(list_transform(range(0, 400), lambda j: exp((4.5 + j) * ln(chi2 / 2) - chi2 / 2 - lgamma(5.5 + j))))', 'p')} FROM (SELECT sid, {_CHI2} AS chi2 FROM {_CHI2_CELLS} GROUP BY sid)", "ev", "nz"))
+def _(spark, d):
+    return nonlinear.chi2_stationarity(sources.ev_user(spark, d)).withColumn("p", special.chi2_p_value(F.col("chi2"), F.lit(9)))
+
+
 _PG = "SELECT sid, k, max(n) AS n, (power(sum(v * cos(2 * pi() * ((k * t) % n) / n)), 2) + power(sum(v * sin(2 * pi() * ((k * t) % n) / n)), 2)) / max(n) AS power FROM (SELECT sid, t, v - avg(v) OVER (PARTITION BY sid) AS v FROM ev) JOIN nz USING (sid) CROSS JOIN range(1, 200) g(k) WHERE k <= n // 2 GROUP BY sid, k"
 
 
@@ -552,11 +513,6 @@ def _(spark, d):
     return generate.regime_table(spark)
 
 
-def _points(spark, d) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
-
-
 _PT = {
     "pt": "SELECT vec_id AS id, label, embedding::DOUBLE[] AS f FROM embeddings",
     "lp": "SELECT id, label, unnest(range(1, len(f) + 1)) AS pos, unnest(f) AS v FROM pt",
@@ -569,7 +525,7 @@ _PT = {
 @query("knn_predict", build("SELECT id, label::BIGINT AS yhat FROM (SELECT id, label, count(*) AS c FROM (SELECT a.id, b.label FROM pt a JOIN pt b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) <= 5) GROUP BY id, label) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, label) = 1", pt=_PT["pt"]))
 def _(spark, d):
     p = _points(spark, d)
-    return stats.knn_predict(p, p, 5, leave_one_out=True, width=64)
+    return stats.knn_predict(p, p, 5, leave_one_out=True)
 
 
 def _nb(spark, d):
@@ -599,7 +555,7 @@ def _(spark, d):
 
 @query("silhouette", build(f"SELECT {r('avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END)', 'score')} FROM (SELECT id, min(CASE WHEN la = lb THEN m END) AS own, min(CASE WHEN la <> lb THEN m END) AS other FROM (SELECT a.id, a.label AS la, b.label AS lb, avg(list_distance(a.f, b.f)) AS m FROM pt a JOIN pt b ON a.id <> b.id GROUP BY 1, 2, 3) GROUP BY id)", pt=_PT["pt"]))
 def _(spark, d):
-    return stats.silhouette(_points(spark, d), 8, width=64)
+    return stats.silhouette(_points(spark, d))
 
 
 _DISP = {**{k: _PT[k] for k in ("pt", "lp", "ce")}, "mu": "SELECT pos, avg(v) AS m FROM lp GROUP BY pos"}
@@ -675,122 +631,5 @@ def _(spark, d):
     return features.feature_table(sources.ev_user(spark, d), o.WINDOW, o.STEP, ("mean", "median"), tau=1, m=2, eps=0.5)
 
 
-# ------------------------------------------------------------------ kernels: rows only, no SQL form
-
-
-def _made(kind: str, legacy: bool):
-    return lambda spark, d: generate.surrogates(sources.ev_user(spark, d), kind, 1, legacy=legacy)
-
-
-for _kind in kernels.SURROGATES:
-    query(f"surrogate_{_kind.lower()}")(_made(_kind, False))
-for _kind in kernels.LEGACY_SURROGATES:
-    query(f"surrogate_legacy_{_kind.lower()}")(_made(_kind, True))
-
-for _system in ("rossler", "lorenz", "chua", "kuramoto", "henon", "sine", "white_noise"):
-    query(f"simulate_{_system}")(lambda spark, d, s=_system: generate.simulate(spark.range(2).select(F.col("id").alias("sid")), s, 200, tmax=2000))
-
-
-@query("pink_filter")
-def _(spark, d):
-    return generate.pink_filter(sources.ev_user(spark, d))
-
-
-@query("noise_colour_welch")
-def _(spark, d):
-    return generate.is_pink(sources.ev_user(spark, d))
-
-
-@query("tau_polynomial")
-def _(spark, d):
-    return generate.delay_polynomial(_z(spark, d))
-
-
-@query("fill_pchip")
-def _(spark, d):
-    gaps = sources.ev_user(spark, d).select("sid", "t", F.array(F.when(F.col("t") % 4 != 1, F.col("x")[0])).alias("x"))
-    return generate.fill_pchip(gaps)
-
-
-@query("window_sensitivity")
-def _(spark, d):
-    return generate.window_sensitivity(_z(spark, d), "determinism", [15, 25], 200, tau=1, m=2, eps=0.5)
-
-
-@query("chi2_p_value")
-def _(spark, d):
-    return nonlinear.chi2_stationarity(sources.ev_user(spark, d)).withColumn("p", special.chi2_p_value(F.col("chi2"), F.lit(9)))
-
-
-def _vectors(spark, d) -> DataFrame:
-    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sid"), "label")
-    table = features.feature_table(sources.emb(spark, d), 20, 10, ("mean",), labels=labels, tau=1, m=2, eps=0.5)
-    return features.feature_vectors(table.select("id", "label", *measures.MEASURES))[0]
-
-
-@query("filter_effect")
-def _(spark, d):
-    return plotdata.filter_effect(sources.ev_user(spark, d))
-
-
-@query("principal_components")
-def _(spark, d):
-    return plotdata.principal_components(_vectors(spark, d))
-
-
-@query("nested_cv")
-def _(spark, d):
-    return benchmarks.nested_cv(_vectors(spark, d), "nb", 8, select=False, tune=True, inner_repeats=2)
-
-
-@query("quick_benchmark")
-def _(spark, d):
-    return benchmarks.quick_benchmark(_vectors(spark, d), ("knn", "logreg", "lda", "nb"))
-
-
-@query("model_comparison")
-def _(spark, d):
-    v = _vectors(spark, d)
-    cvs = benchmarks.nested_cv(v, "nb", 8, select=False).unionByName(benchmarks.nested_cv(v, "lda", 8, select=False))
-    return benchmarks.pairwise_tests(cvs)
-
-
-@query("integrated_benchmark")
-def _(spark, d):
-    return benchmarks.integrated_benchmark(_vectors(spark, d), ("nb", "lda"), outer=6, select=False)["comparison"]
-
-
-@query("permutation_null")
-def _(spark, d):
-    return benchmarks.permutation_null(_vectors(spark, d), "nb", 10)
-
-
-@query("permutation_importance")
-def _(spark, d):
-    return benchmarks.permutation_importance(_vectors(spark, d), list(measures.MEASURES), "nb", 5)
-
-
-@query("cluster_sweep")
-def _(spark, d):
-    return benchmarks.cluster_sweep(_vectors(spark, d), ("kmeans", "gmm"), range(2, 5))
-
-
-@query("cluster_stability")
-def _(spark, d):
-    return benchmarks.cluster_stability(_vectors(spark, d), "kmeans", 3, 10)
-
-
-@query("surrogate_null")
-def _(spark, d):
-    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sid"), "label")
-    return nulls.surrogate_null(sources.emb(spark, d), labels, ("FT",), 2, "nb", 4, window=20, step=20, stats=("mean",), tau=1, m=2, eps=0.5)
-
-
-@query("surrogate_cluster_null")
-def _(spark, d):
-    return nulls.surrogate_cluster_null(sources.emb(spark, d), ("AAFT",), 2, ks=range(2, 4), window=20, step=20, stats=("mean",), tau=1, m=2, eps=0.5)
-
-
-@query("surrogate_validation")
-def _(spark, d):
-    return nulls.validation(sources.ev_user(spark, d), ("FT", "IAAFT"), 2)
+# The other queries register themselves.
+from . import kernel_queries, legacy_queries, model_queries  # noqa: E402, F401
