@@ -9,15 +9,22 @@ document is scored +1 for an equal and -PENALTY for another word, and the best-s
 run must have MIN_WORDS equal words, or LEAST_WORDS that are 80 % of the item's words.
 Runs with a positive score have over 80 % equal words. Where the run falls short, the
 whole overlap counts: LEAST_WORDS equal words that are 80 % of the item's are enough,
-wherever the others lie.
+wherever the others lie. Items of fewer than LEAST_WORDS words, for which no share of
+equal words says anything, are found where all their words stand in a row.
+
+Repeated seeds are not multiplied out. Hits of a document and an item are counted first,
+from how often each has a seed; where that is more than there are diagonals, the number
+of equal words on every diagonal is worked out at once (by convolution for frequent
+words) and diagonals are verified from the one with most on, until none can do better.
 
 The benchmark is the small side: it is sent to the tasks in blocks of BLOCK_BYTES at
 most (or one item), whatever its size, and each block is met with all documents. The
 documents are never shuffled.
 
-Defined results for odd rows: null and empty texts match nothing; items of fewer than
-LEAST_WORDS words cannot be told from ordinary prose and match nothing; rows with equal
-ids are judged one by one; other columns pass through untouched.
+Defined results for odd rows: null and empty texts match nothing; rows with equal ids
+are judged one by one; of several overlaps of a document and an item the one with most
+equal words counts, then that on the least diagonal; other columns pass through
+untouched.
 """
 
 from __future__ import annotations
@@ -58,6 +65,38 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(g)
 
 
+def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    g = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        g += h[k : k + len(g)] * _FACTOR[k]
+    return mix(g)
+
+
+def equal_words(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Equal words on each diagonal, from own's last word on the first of words to the other way round."""
+    n, m = len(words), len(own)
+    out = np.zeros(n + m - 1, np.int64)
+    names, code = np.unique(own, return_inverse=True)
+    at = np.searchsorted(names, words)
+    mine = np.flatnonzero(names[np.minimum(at, len(names) - 1)] == words)
+    at = at[mine]
+    order = np.argsort(at, kind="stable")
+    mine, edges = mine[order], np.searchsorted(at[order], np.arange(len(names) + 1))
+    by = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[by], np.arange(len(names) + 1))
+    size = 1 << (n + m - 1).bit_length()
+    for c in range(len(names)):
+        p, q = mine[edges[c] : edges[c + 1]], by[cuts[c] : cuts[c + 1]]
+        if len(p) * len(q) <= 8 * (n + m):
+            np.add.at(out, (p[:, None] - q[None] + m - 1).ravel(), 1)
+        else:
+            x, y = np.zeros(size), np.zeros(size)
+            x[p], y[m - 1 - q] = 1, 1
+            out += np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: n + m - 1]).astype(np.int64)
+    return out
+
+
 class Block:
     """A block of benchmark items, ready to be met with documents."""
 
@@ -74,47 +113,107 @@ class Block:
             g = seed_hashes(self.h, mask)
             at = np.arange(len(g))
             at = at[(item[at] == item[at + len(mask) - 1]) & long_enough[item[at]]] if len(at) else at
-            order = at[np.argsort(g[at], kind="stable")]
+            at = at[np.lexsort((at, item[at], g[at]))]
+            # A row for each seed of an item: its places are at[start : start + count].
+            new = np.ones(len(at), bool)
+            new[1:] = (g[at][1:] != g[at][:-1]) | (item[at][1:] != item[at][:-1])
+            start = np.flatnonzero(new)
             known = np.zeros(1 << 20, bool)
-            known[(g[order] >> U(44)).astype(np.int64)] = True
-            self.seeds.append((mask, g[order], order, known))
-        self.item = item
+            known[(g[at] >> U(44)).astype(np.int64)] = True
+            self.seeds.append((mask, g[at][start], item[at][start], start, np.diff(np.append(start, len(at))), at, known))
+        self.short = {}
+        for k in np.flatnonzero((counts > 0) & (counts < LEAST_WORDS)).tolist():
+            own = self.h[self.first[k] : self.first[k + 1]]
+            self.short.setdefault(len(own), {}).setdefault(int(_run_hashes(own, len(own))[0]), []).append(k)
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, start, words, equal words) for each text and item that overlap; of
-        several overlaps the one with most equal words, then the first."""
+        """(text, item, start, words, equal words) for each text and item that overlap."""
         text, counts = normal_words(texts)
         starts, ends = word_spans(text)
         if not len(starts) or not len(self.h):
             return []
         h = slice_hashes(text, starts, ends)
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for mask, keys, order, known in self.seeds:
+        doc = np.repeat(np.arange(len(texts)), counts)
+        found = self._short(h, first, doc)
+        light, heavy = self._diagonals(h, first, doc)
+        for d, i, s in light:
+            self._offer(found, h[first[d] : first[d + 1]], d, i, s)
+        for d, i in heavy:
+            words, own = h[first[d] : first[d + 1]], self.h[self.first[i] : self.first[i + 1]]
+            same = equal_words(words, own)
+            shifts = np.arange(len(same)) - len(own) + 1
+            order = np.lexsort((shifts, -same))
+            for s, most in zip(shifts[order].tolist(), same[order].tolist()):
+                # No diagonal from here on has more equal words than the best overlap so far.
+                if most < LEAST_WORDS or (best := found.get((d, i))) and best[0] <= (-most, s):
+                    break
+                self._offer(found, words, d, i, s)
+        return [(d, i, *found[d, i][1]) for d, i in sorted(found)]
+
+    def _offer(self, found: dict, words: np.ndarray, d: int, i: int, shift: int) -> None:
+        if run := self._verify(words, i, shift):
+            rank = (-run[2], shift)
+            if (d, i) not in found or rank < found[d, i][0]:
+                found[d, i] = rank, run
+
+    def _short(self, h: np.ndarray, first: np.ndarray, doc: np.ndarray) -> dict:
+        """Overlaps with short items: the first place that holds all their words in a row."""
+        found: dict = {}
+        for n, table in self.short.items():
+            if len(h) < n:
+                continue
+            g = _run_hashes(h, n)
+            known = np.array(sorted(table), np.uint64)
+            at = np.flatnonzero((known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g) & (doc[: len(g)] == doc[n - 1 :]))
+            for p in at.tolist():
+                d = int(doc[p])
+                for i in table[int(g[p])]:
+                    if np.array_equal(h[p : p + n], self.h[self.first[i] : self.first[i + 1]]):
+                        found.setdefault((d, i), ((-n, int(p - first[d])), (int(p - first[d]), n, n)))
+        return found
+
+    def _diagonals(self, h: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[list, list]:
+        """(document, item, shift) of the diagonals that seeds hit, and (document, item) where they hit
+        more often than there are diagonals."""
+        rows = []
+        for mask, keys, items, at0, n_at, places, known in self.seeds:
             g = seed_hashes(h, mask)
             at = np.flatnonzero(known[(g >> U(44)).astype(np.int64)])
+            at = at[doc[at] == doc[at + len(mask) - 1]]
             if not len(keys) or not len(at):
                 continue
-            lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
-            hit = np.flatnonzero(hi > lo)
-            n = (hi - lo)[hit]
-            where = np.repeat(at[hit], n)
-            place = order[np.repeat(lo[hit], n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)]
-            doc = np.searchsorted(first, where, "right") - 1
-            whole = where + len(mask) <= first[doc + 1]
-            item = self.item[place]
-            shift = (where - first[doc]) - (place - self.first[item])
-            for key in dict.fromkeys(zip(doc[whole].tolist(), item[whole].tolist(), shift[whole].tolist())):
-                if key in tried:
-                    continue
-                tried.add(key)
-                d, i, s = key
-                if run := self._verify(h[first[d] : first[d + 1]], i, s):
-                    best = found.get((d, i))
-                    if best is None or (-run[2], run[0]) < (-best[2], best[0]):
-                        found[d, i] = run
-        return [(d, i, *found[d, i]) for d, i in sorted(found)]
+            at = at[keys[np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)] == g[at]]
+            if not len(at):
+                continue
+            at = at[np.lexsort((at, g[at], doc[at]))]
+            new = np.ones(len(at), bool)
+            new[1:] = (g[at][1:] != g[at][:-1]) | (doc[at][1:] != doc[at][:-1])
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(at)))
+            lo, hi = np.searchsorted(keys, g[at][start], "left"), np.searchsorted(keys, g[at][start], "right")
+            # A row for each seed that a document and an item share.
+            own = np.repeat(np.arange(len(start)), hi - lo)
+            entry = np.arange(len(own)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[own]
+            rows.append((doc[at][start][own], items[entry], start[own], n[own], at0[entry], n_at[entry], at, places))
+        if not rows:
+            return [], []
+        pair = np.concatenate([r[0] * len(self.ids) + r[1] for r in rows])
+        hits = np.concatenate([r[3] * r[5] for r in rows])
+        each, back = np.unique(pair, return_inverse=True)
+        total = np.bincount(back, hits.astype(float), len(each))
+        d, i = each // len(self.ids), each % len(self.ids)
+        dense = total > 2 * (np.diff(first)[d] + np.diff(self.first)[i]) + 64
+        heavy, out, s = list(zip(d[dense].tolist(), i[dense].tolist())), [], 0
+        for r in rows:
+            some = np.flatnonzero(~dense[back[s : s + len(r[0])]])
+            s += len(r[0])
+            rd, ri, a0, n, b0, m = (x[some] for x in r[:6])
+            row = np.repeat(np.arange(len(some)), n * m)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            where, place = r[6][a0[row] + k // m[row]], r[7][b0[row] + k % m[row]]
+            out.append(np.stack([rd[row], ri[row], (where - first[rd[row]]) - (place - self.first[ri[row]])]))
+        return list(zip(*np.unique(np.concatenate(out, axis=1), axis=1).tolist())), heavy
 
     def _verify(self, h: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
         """The best-scoring run of the item laid over the document at shift: (start, words, equal)."""
@@ -196,10 +295,12 @@ def brute_force(docs: dict[int, str | None], items: dict[int, str | None]) -> se
     words = lambda t: (t or "").lower().translate(str.maketrans("", "", PUNCTUATION)).encode().split()
     for i, t in items.items():
         own = words(t)
-        if len(own) < LEAST_WORDS:
-            continue
         for d, x in docs.items():
             w = words(x)
+            if len(own) < LEAST_WORDS:
+                if own and any(w[k : k + len(own)] == own for k in range(len(w))):
+                    out.add((d, i))
+                continue
             for shift in range(-len(own) + 1, len(w)):
                 best = score = same = whole = 0
                 for k in range(len(own)):
