@@ -1,4 +1,5 @@
 import random
+import time
 
 from echoplane.llm import license_scan as m
 
@@ -62,3 +63,48 @@ def test_one_signal_word_replaced():
             if set(m.normal_words(w)) - m.FUNCTION_WORDS:
                 changed = " ".join(["some", "words", *words[:k], "other", *words[k + 1 :], "after", "it"])
                 assert m.brute_force(changed, text) and len(scanner.scan(changed)) == 1, (name, k)
+
+
+def test_every_template_at_the_bound():
+    """As many words replaced as the coverage allows, anywhere: found, with place and coverage; one more is not."""
+    rng = random.Random(4)
+    for name, text in m.TEMPLATES.items():
+        words = m.normal_words(text)
+        may = int((1 - m.COVER) * len(words) + 1e-9)
+        for extra in (0, 1):
+            # Spread out, so that words that occur often in a template still find their anchors.
+            at = sorted(rng.sample(range(1, len(words) - 1), min(may + extra, len(words) - 2)))
+            changed = [b"zz%d" % k if k in at else w for k, w in enumerate(words)]
+            doc = b" ".join([b"before", b"it", *changed, b"after", b"it"]).decode()
+            found = [x for x in m.Scanner({name: text}).scan(doc)]
+            if extra and len(at) > may:
+                assert not found and not m.brute_force(doc, text), name
+            elif found or len(set(words)) == len(words):
+                [(_, start, end, n, coverage)] = found
+                assert n == len(words) - len(at) and abs(coverage - n / len(words)) < 1e-12 and coverage >= m.COVER - 1e-9, name
+                assert (start, end) == (2, 2 + len(words)), name
+
+
+def test_common_words_is_the_longest_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = (rng.choices([b"a", b"b", b"c", b"d"], k=rng.randint(0, 30)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        bits: dict = {}
+        for k, w in enumerate(b):
+            bits[w] = bits.get(w, 0) | 1 << k
+        assert m.common_words(a, bits, len(b)) == row[-1]
+
+
+def test_work_is_bounded_on_shuffled_words():
+    rng = random.Random(7)
+    pool = m.normal_words(" ".join(m.TEMPLATES.values()))
+    text = b" ".join(rng.choices(pool, k=100_000)).decode()
+    began = time.time()
+    m.Scanner(m.TEMPLATES).scan(text)
+    assert time.time() - began < 60
