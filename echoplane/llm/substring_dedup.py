@@ -14,7 +14,10 @@ How it stays bounded when a passage or a pair of words is everywhere:
   gets each text at most once a chunk;
 * seeds that a sample of the documents shows to be common are ranked after all other
   seeds, so that a window uses one only if it has no other. The sample steers where
-  windows are sorted and never what is found.
+  windows are sorted and never what is found;
+* a bucket is read as a stream. One that passes MOST_BYTES in spite of all that is not
+  gathered: its windows leave one by one and are sorted by Spark, by their text, which
+  needs no more memory for a window that is everywhere.
 
 Defined results for odd rows: a null text has no words; a null doc_id sorts after all
 others; rows with equal doc_id and equal text are one document and share its result;
@@ -39,9 +42,11 @@ from ._common import (
 )
 
 WINDOW = 20
-SEED = 5
+SEED = 3
 #: Raw bytes of packed strings that a bucket holds on average, at most.
 BUCKET_BYTES = 10 << 20
+#: Bytes of packed strings (compressed) that a task gathers for a bucket, at most.
+MOST_BYTES = 24 << 20
 #: Bytes of text that a map task works on at a time.
 MAP_BYTES = 7 << 20
 #: Documents in the sample that finds common seeds, about.
@@ -129,23 +134,91 @@ def _bundles(window: int, seed: int, n_buckets: int, common: np.ndarray):
                 rows = k[a:b]
                 f, t = s.starts[s.at[rows]], s.ends[s.at[rows] + s.n_windows[rows] + window - 2]
                 text = b" ".join([view[x:y] for x, y in zip(f.tolist(), t.tolist())]) + b" "
-                put = settled_doc if a == 0 else settled_doc[:0]
-                n = len(put)
                 out[0].append(int(bucket[a]))
-                out[1].append(pack(ids[0][s.doc[rows]], ids[1][s.doc[rows]], s.word[rows].astype(np.int32), s.n_windows[rows].astype(np.int32), text, ids[0][put], ids[1][put], settled_from[:n].astype(np.int32), settled_to[:n].astype(np.int32), level=3))
+                out[1].append(pack(ids[0][s.doc[rows]], ids[1][s.doc[rows]], s.word[rows].astype(np.int32), s.n_windows[rows].astype(np.int32), text, level=3))
+            if len(settled_doc):  # a bundle of its own, to any bucket
+                out[0].append(int(mix(s.th[settled_doc[:1]].view(np.uint64) + U(1))[0] % U(n_buckets)))
+                out[1].append(pack(ids[0][settled_doc], ids[1][settled_doc], settled_from.astype(np.int32), settled_to.astype(np.int32), level=3))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["bucket", "bundle"])
 
     return run
 
 
+_SPANS = "_id long, _th long, from int, to int, window binary"
+
+
+def _rows_of(id_, th, start, end, windows: list[bytes] | None = None) -> pa.RecordBatch:
+    cols = [pa.array(id_, pa.int64()), pa.array(th, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary()) if windows is None else pa.array(windows, pa.binary())], names=["_id", "_th", "from", "to", "window"])
+
+
+def _buckets(window: int, most: int):
+    """Bundles in order of buckets -> intervals of words to remove, and windows of buckets too large to gather."""
+    settle = _settle(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, spills = None, [], 0, False
+        for batch in batches:
+            for bucket, bundle in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now:
+                    if held:
+                        yield settle(held)
+                    now, held, size, spills = bucket, [], 0, False
+                parts = bundle.as_py()
+                held.append(parts)
+                size += len(parts)
+                if size > most or spills:
+                    spills = True
+                    for x in held:
+                        yield from _windows(unpack(x), window)
+                    held = []
+        if held:
+            yield settle(held)
+
+    return run
+
+
+def _windows(parts: tuple, window: int) -> Iterator[pa.RecordBatch]:
+    """A bundle's windows one by one, each with its text."""
+    if len(parts) == 4:
+        yield _rows_of(*parts)
+        return
+    id_, th, word, n_windows, text = parts
+    starts, ends = word_spans(text)
+    first = np.cumsum(n_windows.astype(np.int64) + window - 1) - (n_windows + window - 1)
+    owner = np.repeat(np.arange(len(id_)), n_windows)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    at = first[owner] + offset
+    for s in range(0, len(owner), 8192):
+        p, a = owner[s : s + 8192], at[s : s + 8192]
+        start = word[p] + offset[s : s + 8192]
+        yield _rows_of(id_[p], th[p], start, start + window, [text[x:y] for x, y in zip(starts[a].tolist(), ends[a + window - 1].tolist())])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in order of text, id, text hash and start -> those that start earlier elsewhere."""
+    text, head = None, None
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (i, t, f, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_id", "_th", "from", "window")))):
+            if w != text:
+                text, head = w, (i, t, f)
+            keep[k] = (i, t, f) != head
+        yield batch.select(["_id", "_th", "from", "to"]).filter(pa.array(keep))
+
+
 def _settle(window: int):
     """A bucket's bundles -> intervals of words to remove."""
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in table.column("bundle")]
+    def run(bundles: list[bytes]) -> pa.RecordBatch:
+        parts = [unpack(x) for x in bundles]
+        done = [p for p in parts if len(p) == 4]  # settled in their chunks
+        parts = [p for p in parts if len(p) == 5]
+        if not parts:
+            return _rows_of(*(np.concatenate([p[i] for p in done]) for i in range(4)))
         id_, th, word, n_windows = (np.concatenate([p[i] for p in parts]) for i in range(4))
         text = b"".join(p[4] for p in parts)
-        done = [np.concatenate([p[i] for p in parts]) for i in range(5, 9)]
+        done = [np.concatenate([p[i] for p in done]) if done else np.zeros(0, np.int64) for i in range(4)]
         del parts
         starts, ends = word_spans(text)
         n_words = n_windows.astype(np.int64) + window - 1
@@ -186,7 +259,7 @@ def _settle(window: int):
         ]
         del text, h, by, owner, offset, first, begin, end
         release()
-        return pa.table(cols, names=["_id", "_th", "from", "to"])
+        return _rows_of(*cols)
 
     return run
 
@@ -201,7 +274,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     n_buckets = max(4 * shuffle_partitions(spark), math.ceil((total.b or 0) * spread / BUCKET_BYTES))
     common = _common_seeds(rows, total.n, window, seed, n_buckets)
     bundles = rows.mapInArrow(_bundles(window, seed, n_buckets, common), "bucket long, bundle binary")
-    return bundles.groupBy("bucket").applyInArrow(_settle(window), "_id long, _th long, from int, to int")
+    found = cut(bundles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(window, MOST_BYTES), _SPANS))
+    plain, large = found.where("window is null").drop("window"), found.where("window is not null")
+    if large.isEmpty():
+        return plain
+    ordered = large.repartition("window").sortWithinPartitions("window", "_id", "_th", "from")
+    return plain.union(ordered.mapInArrow(_again, "_id long, _th long, from int, to int"))
 
 
 def _common_seeds(rows: DataFrame, n: int, window: int, seed: int, n_buckets: int) -> np.ndarray:
