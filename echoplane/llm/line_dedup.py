@@ -10,7 +10,8 @@ and keys can be taken out again, which lets `LineIndex` insert and delete docume
 
 A map task sums up each chunk first: a shard gets a key at most once a chunk, however
 many documents hold it, because in the chunk all holders but the smallest lose the line
-in any case.
+in any case. A shard is read as a stream; one that passes MOST_BYTES all the same is
+summed up by Spark, key by key.
 
 Defined results for odd rows: a null or empty text is one empty line and stays; rows
 with the same doc_id are one document; a null doc_id is one document that sorts last;
@@ -35,6 +36,8 @@ from ._common import NULL_ID, U, as_bytes, bounded_batches, chunks, cut, mix, pa
 MIN_CHARS = 10
 #: Bytes of text whose keys a shard holds on average, at most.
 SHARD_BYTES = 32 << 20
+#: Bytes of keys and counts that a task gathers for a shard, at most: eight times the average.
+MOST_BYTES = 128 << 20
 _D = np.dtype([("hi", "<u8"), ("lo", "<u8")])
 
 
@@ -188,31 +191,67 @@ def _chunk_sums(n_shards: int):
             drop_key = np.frombuffer(b"".join(x[1] for x in settled), _D)
             for s in np.unique(shard).tolist():
                 at = shard == s
-                n = len(settled) if not out[0] else 0
                 out[0].append(s)
-                out[1].append(pack(keys[at], sums[at, 0], sums[at, 1], drop_id[:n], drop_key[:n]))
+                out[1].append(pack(keys[at], sums[at, 0], sums[at, 1]))
+            if settled:  # a bundle of its own, to any shard
+                out[0].append(int(Shard.hashes(drop_key[:1])[0] % U(n_shards)))
+                out[1].append(pack(drop_id, drop_key))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["shard", "bundle"])
 
     return run
 
 
-def _drops(table: pa.Table) -> pa.Table:
-    """A shard's bundles -> (_id, key) whose lines go."""
-    parts = [unpack(x.as_py()) for x in table.column("bundle")]
+def _lost(ids: np.ndarray, keys: np.ndarray, open_: bool = False) -> pa.RecordBatch:
+    """Rows (_id, key, open): lines that go, or that are still to be settled."""
+    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), data, pa.array(np.full(len(keys), open_))], names=["_id", "key", "open"])
+
+
+def _shards(most: int):
+    """Bundles in order of shards -> (_id, key, open): lines that go. A shard's bundles are gathered as long
+    as they take no more than most bytes; keys of a larger one leave as open rows, for Spark to sum up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, spills = None, [], 0, False
+        for batch in batches:
+            for shard, bundle in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard != now:
+                    if held:
+                        yield _drops(held)
+                    now, held, size, spills = shard, [], 0, False
+                x = bundle.as_py()
+                parts = unpack(x)
+                if len(parts) == 2:
+                    yield _lost(*parts)
+                    continue
+                held.append(parts)
+                size += parts[0].nbytes + parts[1].nbytes + parts[2].nbytes
+                if size > most or spills:
+                    spills = True
+                    for keys, _, first in held:
+                        yield _lost(first, keys, True)
+                    held = []
+        if held:
+            yield _drops(held)
+
+    return run
+
+
+def _drops(parts: list[tuple]) -> pa.RecordBatch:
+    """A shard's bundles -> the lines that go."""
     shard = Shard(max(len(p[0]) for p in parts))
     for p in parts:
-        shard.insert(p[0], p[1], p[2])
+        shard.insert(*p)
     ids, keys = [], []
-    for key, _, first, drop_id, drop_key in parts:
+    for key, _, first in parts:
         least = np.fromiter((shard.refs[k.tobytes()][1] for k in key.view("V16")), np.int64, len(key))
         lost = least < first
-        ids += [first[lost], drop_id]
-        keys += [key[lost], drop_key]
-    flat = np.concatenate(keys)
+        ids.append(first[lost])
+        keys.append(key[lost])
+    out = _lost(np.concatenate(ids), np.concatenate(keys))
     del shard, parts
     release()
-    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
-    return pa.table([pa.array(np.concatenate(ids)), data], names=["_id", "key"])
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -227,7 +266,13 @@ def _n_shards(docs: DataFrame) -> int:
 def drop_table(docs: DataFrame) -> DataFrame:
     """(_id, key): the digests of the lines that each document loses."""
     bundles = _rows(docs).mapInArrow(_chunk_sums(_n_shards(docs)), "shard long, bundle binary")
-    return bundles.groupBy("shard").applyInArrow(_drops, "_id long, key binary")
+    found = cut(bundles.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(MOST_BYTES), "_id long, key binary, open boolean"))
+    plain, large = found.where("not open").select("_id", "key"), found.where("open").select("_id", "key")
+    if large.isEmpty():
+        return plain
+    # Minima are combined before the exchange, and Spark splits a key that very many rows hold.
+    least = large.groupBy("key").agg(F.min("_id").alias("least"))
+    return plain.union(large.join(least, "key").where("_id > least").select("_id", "key"))
 
 
 def _apply_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
