@@ -4,8 +4,9 @@ Texts are split into pretokens by the pattern that byte-level vocabularies use.
 corpus's frequent pretokens are compiled into a minimal acyclic transducer: words share
 their beginnings and, as equal states are merged, their ends; each arc carries the number
 of words that sort before it, and the sum along a word's path numbers its row of token
-ids. The automaton is broadcast (its size is bounded by the lexicon's) and memory-mapped by
-the workers. Pretokens that it does not hold are merged exactly, pair by pair in
+ids. The automaton is a file, of a size that the lexicon's bounds; Spark hands it to every
+executor, also to those that come later, and the workers of an executor map it and share
+its pages. Pretokens that it does not hold are merged exactly, pair by pair in
 order of rank. What the lexicon holds changes speed and never results.
 
 The counts that choose the lexicon cover all documents; it has at most LEXICON_WORDS
@@ -20,11 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import mmap
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 import zlib
 from collections import Counter
@@ -32,16 +33,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, chunks, cut, pack, release, shuffle_partitions, unpack
+from ._common import bounded_batches, checkpoint_dir, chunks, cut, pack, release, shuffle_partitions, unpack
 
 #: Most words in the lexicon, and how often a word must occur to be in it.
 LEXICON_WORDS = 60_000
 MIN_COUNT = 8
 #: Pretokens that a worker remembers.
 CACHE = 300_000
+#: Bytes of text whose words a bucket of counts holds on average, at most.
+BUCKET_BYTES = 64 << 20
 #: Stands for the rank of a pair that does not merge.
 NO_RANK = 1 << 40
 
@@ -224,10 +228,9 @@ class Vocabulary:
 class Transducer:
     """A minimal acyclic automaton over bytes, laid out in one buffer.
 
-    Layout: six counts, then the arcs' targets, the arcs' outputs, the states' first arcs,
-    the rows' offsets and the token ids (all uint32), the states' final flags and the arcs'
-    bytes. Arcs of a state are in order of their bytes. A word's number is the sum of its
-    arcs' outputs: the words that sort before it."""
+    Layout: six counts, then the arcs' keys (state and byte, in order), their targets and
+    outputs, the rows' offsets and the token ids (all uint32), and the states' final flags.
+    A word's number is the sum of its arcs' outputs: the words that sort before it."""
 
     @staticmethod
     def compile(words: dict[bytes, list[int]]) -> bytes:
@@ -260,11 +263,11 @@ class Transducer:
         root = len(arcs)
         arcs.append(path[0][1])
         final.append(path[0][0])
-        first, targets, outputs, labels = [0], [], [], bytearray()
+        first, targets, outputs, keys = [0], [], [], []
         for s, own in enumerate(arcs):
             passed = int(final[s])
             for b, t in own:
-                labels.append(b)
+                keys.append(s << 8 | b)
                 targets.append(t)
                 outputs.append(passed)
                 passed += below[t]
@@ -272,74 +275,47 @@ class Transducer:
         rows = np.cumsum([0, *(len(words[w]) for w in ordered)])
         ids = [i for w in ordered for i in words[w]]
         head = struct.pack("<6I", root, len(arcs), len(targets), len(ordered), len(ids), 0)
-        numbers = np.array([*targets, *outputs, *first, *rows.tolist(), *ids], "<u4").tobytes()
-        return head + numbers + bytes(map(int, final)) + bytes(labels)
+        numbers = np.array([*keys, *targets, *outputs, *rows.tolist(), *ids], "<u4").tobytes()
+        return head + numbers + bytes(map(int, final))
 
     def __init__(self, data):
-        self.root, n_states, n_arcs, self.n_words, n_ids, _ = struct.unpack_from("<6I", data)
-        view = memoryview(data)
-        sizes, at, parts = (n_arcs, n_arcs, n_states + 1, self.n_words + 1, n_ids), 24, []
-        for n in sizes:
-            parts.append(view[at : at + 4 * n].cast("I"))
+        """data is a buffer: nothing of it is copied, so workers that map one file share its pages."""
+        self.root, self.n_states, n_arcs, self.n_words, n_ids, _ = struct.unpack_from("<6I", data)
+        at, parts = 24, []
+        for n in (n_arcs, n_arcs, n_arcs, self.n_words + 1, n_ids):
+            parts.append(np.frombuffer(data, "<u4", n, at))
             at += 4 * n
-        self.targets, self.outputs, self.first, self.rows, self.ids = parts
-        self.final, self.data, self.labels = view[at : at + n_states], data, at + n_states
-        self.n_states = n_states
+        self.keys, self.targets, self.outputs, self.rows, self.ids = parts
+        self.final = np.frombuffer(data, np.uint8, self.n_states, at)
 
     @classmethod
     def open(cls, path: str) -> Transducer:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    @classmethod
-    def mapped(cls, data: bytes) -> Transducer:
-        """From a nameless file, which goes when the map does."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-
-    def number(self, word: bytes) -> int:
-        """The word's place among all words, or -1."""
-        state, out, find, labels, first = self.root, 0, self.data.find, self.labels, self.first
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], labels + first[state], labels + first[state + 1]) - labels
-            if arc < 0:
-                return -1
-            out += self.outputs[arc]
-            state = self.targets[arc]
-        return out if self.final[state] else -1
-
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The place of each word, or -1, all words a byte further at a time."""
-        if not hasattr(self, "_keys"):
-            first = np.asarray(self.first, np.int64)
-            labels = np.frombuffer(self.data, np.uint8, len(self.targets), self.labels)
-            self._keys = np.repeat(np.arange(self.n_states), np.diff(first)) * 256 + labels
-            self._arrays = np.asarray(self.targets, np.int64), np.asarray(self.outputs, np.int64), np.frombuffer(self.final, np.uint8)
-        targets, outputs, final = self._arrays
+        """The place of each word among all words, or -1; all words a byte further at a time."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         starts, text = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words) + b"\0", np.uint8)
-        out, state = np.zeros(len(words), np.int64), np.full(len(words), self.root)
+        out, state = np.zeros(len(words), np.int64), np.full(len(words), self.root, np.int64)
         alive, depth = np.arange(len(words)), 0
-        while len(alive) and len(self._keys):
+        while len(alive) and len(self.keys):
             alive = alive[lengths[alive] > depth]
-            key = state[alive] * 256 + text[starts[alive] + depth]
-            arc = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            found = self._keys[arc] == key
+            key = (state[alive] << 8 | text[starts[alive] + depth]).astype(np.uint32)
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[arc] == key
             state[alive[~found]] = -1
             alive, arc = alive[found], arc[found]
-            out[alive] += outputs[arc]
-            state[alive] = targets[arc]
+            out[alive] += self.outputs[arc]
+            state[alive] = self.targets[arc]
             depth += 1
-        if not len(self._keys):
+        if not len(self.keys):
             state[lengths > 0] = -1
-        return np.where((state >= 0) & (final[state] > 0), out, -1)
+        return np.where((state >= 0) & (self.final[state] > 0), out, -1)
 
     def lookup(self, word: bytes) -> list[int] | None:
-        if (n := self.number(word)) < 0:
-            return None
-        return self.ids[self.rows[n] : self.rows[n + 1]].tolist()
+        n = int(self.numbers([word])[0])
+        return None if n < 0 else self.ids[self.rows[n] : self.rows[n + 1]].tolist()
 
 
 class _Words(dict):
@@ -368,11 +344,11 @@ class _Words(dict):
             return
         rest = range(len(names))
         if self.lexicon:
-            n = self.lexicon.numbers(raw)
-            rows = np.asarray(self.lexicon.rows, np.int64)
-            ids = self.lexicon.ids
-            for k in np.flatnonzero(n >= 0).tolist():
-                self[names[k]] = ids[rows[n[k]] : rows[n[k] + 1]].tobytes()
+            n, ids = self.lexicon.numbers(raw), self.lexicon.ids
+            known = np.flatnonzero(n >= 0)
+            at, end = self.lexicon.rows[n[known]].tolist(), self.lexicon.rows[n[known] + 1].tolist()
+            for k, a, b in zip(known.tolist(), at, end):
+                self[names[k]] = ids[a:b].tobytes()
             rest = np.flatnonzero(n < 0).tolist()
         for k, packed in zip(rest, self.vocabulary.merge_many([raw[k] for k in rest])):
             self[names[k]] = packed
@@ -424,7 +400,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, special: Iterable[str] = ()) -> DataFrame:
     """(word, n): pretokens that occur MIN_COUNT times or more in docs."""
-    n_buckets = 4 * shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first().b or 0
+    n_buckets = max(4 * shuffle_partitions(docs.sparkSession), math.ceil(size / BUCKET_BYTES))
     special = tuple(special)
 
     def count(batches):
@@ -473,16 +450,28 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
     return Transducer.compile({w: vocabulary.merge(w) for w in words})
 
 
+def _shared_file(spark: SparkSession, data: bytes) -> str:
+    """Writes data to the shared folder, has Spark give it to the executors, and returns its name there."""
+    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def encode_corpus(docs: DataFrame, vocabulary_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs' columns in keep, with ids (array of int) and decoded (the text that they decode to)."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(vocabulary_path or default_vocabulary())
     held = spark.sparkContext.broadcast(vocabulary)
-    lexicon = spark.sparkContext.broadcast(build_lexicon(docs, vocabulary))
+    lexicon = _shared_file(spark, build_lexicon(docs, vocabulary))
     rows = bounded_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_keep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
     def run(batches):
-        codec = Codec(held.value, Transducer.mapped(lexicon.value))
+        codec = Codec(held.value, Transducer.open(SparkFiles.get(lexicon)))
         for table in chunks(batches, 2 << 20, "_text"):
             ids = codec.encode_batch(table.column("_text").to_pylist())
             decoded = [codec.decode(x.tolist()) for x in ids]

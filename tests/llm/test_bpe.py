@@ -35,7 +35,7 @@ def test_transducer(n, tmp_path):
     (tmp_path / "t").write_bytes(m.Transducer.compile(words))
     t = m.Transducer.open(str(tmp_path / "t"))
     assert all(t.lookup(w) == ids for w, ids in words.items()) and t.n_words == len(words)
-    assert [t.number(w) for w in sorted(words)] == list(range(len(words)))
+    assert t.numbers(sorted(words)).tolist() == list(range(len(words)))
     assert t.lookup(b"zz") is None and t.lookup(b"aaaaaaaaaaaaaaaaaaa") is None
     prefixes = {w[:k] for w in words for k in range(len(w) + 1)}
     assert n < 100 or t.n_states < len(prefixes) / 2  # ends are shared
