@@ -8,13 +8,17 @@ from that the posterior class of every pattern. A softmax scorer over hashed fea
 trained on the posteriors of at most TRAIN_DOCS documents and scores every document.
 
 Patterns are counted over all documents; there are at most 4**len(LABELLERS) of them, so
-that is what the driver gets. TRAIN_DOCS is the only bound on the data: labelled documents
-first, then others, by least hashes of their ids, train the scorer. Documents are never shuffled.
+that is what the driver gets. TRAIN_DOCS and TRAIN_BYTES are the only bounds on the data:
+labelled documents first, then others, by least hashes of their ids, train the scorer.
+Their features are worked out where the texts are; documents are never shuffled.
 
 Defined results for odd rows: null and empty texts have no words, and get the scores of
 the features that they share with others (clean, unless the corpus says otherwise); a
-null doc_id is like any other; rows with equal ids are scored one by one; an empty table
-gives an empty result; other columns pass through `keep_good` untouched.
+null doc_id is like any other, but does not train; rows with equal ids are scored one by
+one, and the first of their vote patterns trains; of several labels of an id the least
+severe counts, labels without id or verdict none; a document whose class clean has a
+probability of exactly one half is kept; an empty table gives an empty result; other
+columns pass through `keep_good` untouched.
 """
 
 from __future__ import annotations
@@ -24,15 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import U, as_bytes, bounded_batches, chunks, cut, mix, release, slice_hashes, word_spans, words_joined
+from ._common import U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, slice_hashes, unpack, word_spans, words_joined
 
 CLASSES = ("clean", "junk", "toxic")
 CLEAN, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 LABELLERS = ("symbols", "capitals", "tables", "repeats", "variety", "prose", "insults", "labels")
-#: Documents that train the scorer, at most.
+#: Documents that train the scorer, at most, and bytes of their texts, the last document's apart.
 TRAIN_DOCS = 4_000
+TRAIN_BYTES = 64 << 20
 FEATURES = 1 << 16
 #: Texts of fewer words are judged with less weight on each word.
 SHORT = 24
@@ -227,26 +233,38 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> np.ndarray:
 
     ids = votes.where("doc_id is not null").groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
     untold = F.floor(F.col("pattern") / 4 ** (len(LABELLERS) - 1)) == ABSTAIN  # labelled documents come first
-    picked = ids.orderBy(untold, F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    picked = cut(ids.orderBy(untold, F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS))
     # At most TRAIN_DOCS pairs of numbers: these may be broadcast. Rows that repeat an id count once.
-    sample = _rows(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    texts = _rows(docs).join(F.broadcast(picked), "doc_id")
 
-    def learn(table: pa.Table) -> pa.Table:
-        doc, feature, value, target = [], [], [], []
-        for part in chunks(table.to_batches(), 1 << 20):
-            d, f, v = Features(as_bytes(part.column("text").combine_chunks())).sparse()
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 1 << 20):
+            texts = as_bytes(part.column("text").combine_chunks())
+            d, f, v = Features(texts).sparse()
             key, back = np.unique(d * FEATURES + f, return_inverse=True)
-            doc.append((key // FEATURES + len(target)).astype(np.int32))
-            feature.append((key % FEATURES).astype(np.int32))
-            value.append(np.bincount(back, v).astype(np.float32))
-            target += [by_code[p] for p in part.column("pattern").to_pylist()]
-        doc, feature, value = (np.concatenate(x) for x in (doc, feature, value))
-        release()
-        weights = train(doc, feature, value, np.array(target))
+            value, cuts = np.bincount(back, v).astype(np.float32), np.searchsorted(key // FEATURES, np.arange(len(texts) + 1))
+            packed = [pack((key[a:b] % FEATURES).astype(np.uint16), value[a:b]) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), part.column("pattern").combine_chunks(), pa.array([len(t) for t in texts], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "pattern", "size", "features"])
+
+    made = cut(texts.select("doc_id", "pattern", "text").mapInArrow(features, "doc_id long, pattern long, size long, features binary"))
+    made = made.dropDuplicates(["doc_id"])
+    # The first documents that fill TRAIN_BYTES: a running sum over TRAIN_DOCS rows at most.
+    before = F.sum("size").over(W.orderBy(untold, F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    sample = made.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN_BYTES)
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        parts = [unpack(x.as_py()) for x in table.column("features")]
+        doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(f) for f, _ in parts])
+        feature, value = np.concatenate([f for f, _ in parts]).astype(np.int32), np.concatenate([v for _, v in parts])
+        target = np.array([by_code[p] for p in table.column("pattern").to_pylist()])
+        del parts
+        weights = train(doc, feature, value, target)
         del doc, feature, value
         release()
         return pa.table([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
+    sample = sample.select("doc_id", "pattern", "features")
     row = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "weights binary").first()
     return np.frombuffer(row.weights, np.float32).reshape(FEATURES, len(CLASSES)) if row else np.zeros((FEATURES, len(CLASSES)))
 

@@ -6,9 +6,9 @@ estimated by expectation-maximisation, from the counts of vote patterns over all
 documents; a document is kept if its posterior probability of being good is KEEP or more
 and the base rule does not fail it. No rule has to pass by itself.
 
-The statistics are worked out once, and written; the patterns are at most 3**len(RULES)
-rows, so each round of expectation-maximisation is one small aggregation that returns
-one row of sums.
+The statistics are worked out once, and written; the patterns are counted in one
+aggregation and are at most 3**len(RULES) rows, which the rounds of
+expectation-maximisation then run over.
 
 Repeated 8-word windows are found by hashes inside the row, and where hashes of a document
 repeat, its windows are sorted by hash and compared word by word.
@@ -115,24 +115,30 @@ class Model:
             logit = logit + F.when(v == 1, one).when(v == 0, zero).otherwise(none)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
-    def fit(self, patterns: DataFrame, rounds: int = ROUNDS) -> Model:
-        """Expectation-maximisation over patterns (v_<rule>..., n)."""
+    def fit(self, patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> Model:
+        """Expectation-maximisation over patterns: the rules' votes, and how many documents have them."""
         first = {n: dict(r) for n, r in self.rates.items()}
+        total = float(sum(n for _, n in patterns))
+        if not total:
+            return self
+        pseudo = max(4.0, 0.002 * total)
+        place = {1: 0, 0: 1, None: 2}
         for _ in range(rounds):
-            p = patterns.withColumn("g", self.posterior() * F.col("n")).withColumn("b", F.col("n") - F.col("g"))
-            sums = [F.sum(c).alias(f"{c}_all") for c in "gb"]
-            sums += [F.sum(F.when(F.col(f"v_{n}") == v, F.col(c))).alias(f"{c}_{n}_{v}") for n in self.names for v in (1, 0) for c in "gb"]
-            row = p.agg(*sums).first().asDict()
-            if not row["g_all"]:
-                return self
-            total = row["g_all"] + row["b_all"]
-            self.good = min(0.99, max(0.01, row["g_all"] / total))
-            pseudo = max(4.0, 0.002 * total)
+            seen = {n: {c: [0.0, 0.0, 0.0] for c in (1, 0)} for n in self.names}
+            mass = {1: 0.0, 0: 0.0}
+            for pattern, count in patterns:
+                logit = math.log(self.good / (1 - self.good))
+                for n, v in zip(self.names, pattern):
+                    logit += math.log(self.rates[n][1][place[v]] / self.rates[n][0][place[v]])
+                good = count / (1 + math.exp(-logit))
+                for c, w in ((1, good), (0, count - good)):
+                    mass[c] += w
+                    for n, v in zip(self.names, pattern):
+                        seen[n][c][place[v]] += w
+            self.good = min(0.99, max(0.01, mass[1] / total))
             for n in self.names:
-                for c, k in (("g", 1), ("b", 0)):
-                    one, zero = (row[f"{c}_{n}_{v}"] or 0.0 for v in (1, 0))
-                    seen = (one, zero, max(0.0, row[f"{c}_all"] - one - zero))
-                    self.rates[n][k] = tuple((x + pseudo * y) / (row[f"{c}_all"] + pseudo) for x, y in zip(seen, first[n][k]))
+                for c in (1, 0):
+                    self.rates[n][c] = tuple((x + pseudo * y) / (mass[c] + pseudo) for x, y in zip(seen[n][c], first[n][c]))
         return self
 
 
@@ -140,8 +146,9 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str | None, str | None]] = RUL
     """The statistics of docs with votes, p_good, base_failed and kept."""
     voted = cut(votes(statistics(docs), rules))
     names = list(rules)
-    patterns = cut(voted.groupBy(*(f"v_{n}" for n in names)).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    model = Model(names, rules).fit(patterns)
+    # At most 3**len(rules) rows, whatever the input.
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*(f"v_{n}" for n in names)).agg(F.count(F.lit(1)).alias("n")).collect()]
+    model = Model(names, rules).fit(sorted(patterns, key=repr))
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     return voted.withColumn("p_good", model.posterior()).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP))
 

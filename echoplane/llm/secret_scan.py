@@ -8,8 +8,8 @@ chi-squared of the symbols' frequencies, the number of runs above and below the
 the alphabet, and the serial correlation of neighbours. Its score is the Bonferroni
 combination of their p-values; ordinary words score next to nothing.
 
-Control of false discoveries: runs of letters of one case (a capital may come first) are
-words, and show how ordinary strings score. Within each class of lengths, a score's
+Control of false discoveries: runs of small letters (a capital may come first) are
+words, and show how ordinary strings score; capitals alone may be base 32, and are tested. Within each class of lengths, a score's
 p-value is the share of words, of that length or shorter (the tests are weaker there, so
 this is the cautious side), that score as high; the Benjamini-Hochberg rule at FDR sets
 the class's threshold. The table of scores by class has a few thousand rows at most,
@@ -136,7 +136,7 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", *(_blocks(n) for n in KINDS))
     base = [_spans(n, f"length({n}_{'g' if g else 'm'}[i]) >= {least}") for n, (_, g, least) in BASE.items()]
     rows = rows.select("*", F.expr(f"array_sort(concat({', '.join(base)}))").alias("base"))
-    word, number = "'^[A-Za-z]?[a-z]+$|^[A-Z]+$'", "'^[0-9]+$'"
+    word, number = "'^[A-Za-z]?[a-z]+$'", "'^[0-9]+$'"
     binned = lambda t: f"transform(array({battery(t)}), b -> struct({_length_class(f'length({t})')} as class, cast(floor(b.score * {BINS}) as int) as bin))[0]"
     extra = f", {binned('random_m[i]')} as s"
     mine = f"not (random_m[i] rlike {word}) and not (random_m[i] rlike {number})"
