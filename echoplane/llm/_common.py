@@ -23,17 +23,20 @@ from pyspark.sql import functions as F
 NULL_ID = 2**63 - 1
 #: Bytes of text that a map task works on at a time.
 CHUNK_BYTES = 6 << 20
-#: Rows in a batch of the exchange with Python, at most.
-BATCH_ROWS = 1000
+#: Bytes in a batch of the exchange with Python, the last row's apart.
+BATCH_BYTES = 2 << 20
 
 U = np.uint64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder. A temporary one is taken where none is set and all runs in one process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="echoplane-ckpt-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="echoplane-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -48,11 +51,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands rows to Python in batches of BATCH_ROWS at most (10,000 texts at
-    once take hundreds of MB on either side). A number that the user has set is left alone."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    """df, whose session hands rows to Python in batches of about BATCH_BYTES at most from now on: plans are
+    made when they run, so the setting has to outlast this call. A number that the user has set
+    is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == f"{64 << 20}b":  # the default
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
