@@ -11,7 +11,8 @@ class RqaConfig:
 
     ``r*``: false-nearest-neighbour threshold grid, ``delta`` its zero level, ``bound`` the drop
     that selects a dimension; ``reqrr``/``rr_delta``: target recurrence rate and tolerance;
-    ``eps*``: radius grid; ``lmin``: shortest line that counts."""
+    ``eps*``: radius grid; ``lmin``: shortest line that counts; ``compat``: "current", or "legacy" for
+    the older forms of all searches, of normalisation and of the measures."""
 
     rdiv: int = 451
     rmin: float = 1.0
@@ -26,6 +27,15 @@ class RqaConfig:
     mi_method: str = "histdd"
     tau_method: str = "default"
     lmin: int = 2
+    compat: str = "current"
+
+    def __post_init__(self):
+        if self.compat not in ("current", "legacy"):
+            raise ValueError(f"Unknown form: {self.compat}")
+
+    @property
+    def legacy(self) -> bool:
+        return self.compat == "legacy"
 
     def with_(self, **changes) -> RqaConfig:
         return replace(self, **changes)

@@ -359,7 +359,7 @@ def polynomial_degree(x: np.ndarray, y: np.ndarray, legacy: bool = False) -> int
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             errors = [np.mean((np.poly1d(np.polyfit(x[rest], y[rest], degree))(x[out]) - y[out]) ** 2) for rest, out in parts]
-        if (error := float(np.sqrt(np.mean(errors)))) < best[0]:
+        if (error := round(float(np.sqrt(np.mean(errors))), 12)) < best[0]:  # digits past that are the solver's
             best = (error, degree)
     return best[1]
 

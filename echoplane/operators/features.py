@@ -12,18 +12,23 @@ from . import embed, information, lines, measures, parameters, recurrence, serie
 
 def parameters_of(series: DataFrame, cfg: RqaConfig = RqaConfig(), dims: int = 1, tau: int | None = None, m: int | None = None, eps: float | None = None, group: bool = False) -> DataFrame:
     """(sid, tau, m, eps) of normalised series: searched, or as given; group puts one set, made of all
-    series' own, in place of each."""
+    series' own, in place of each. Under cfg.compat "legacy" the searches take their older
+    forms, in which m and eps may be -1: not found."""
     sids = series.select("sid").distinct()
+    dimension = parameters.embedding_dimension_legacy if cfg.legacy else parameters.embedding_dimension
+    search = (lambda: information.delay_legacy(series, dims)) if cfg.legacy else (lambda: information.delay(series, dims, cfg.mi_method))
     # What is searched is a row a series, and used at every later stage: it is worked out once.
-    t = sids.withColumn("tau", F.lit(tau)) if tau else materialised(information.delay(series, dims, cfg.mi_method))
+    t = sids.withColumn("tau", F.lit(tau)) if tau else materialised(search())
     if m:
         p = t.withColumn("m", F.lit(m))
     else:
-        p = materialised(t.join(parameters.embedding_dimension(series, tau or t, cfg, dims), "sid"))
+        p = materialised(t.join(dimension(series, tau or t, cfg, dims), "sid"))
     if eps:
         p = p.withColumn("eps", F.lit(float(eps)))
     else:
-        p = materialised(p.join(parameters.radius(embed.delay_embed_by(series, p), cfg, sids=sids), "sid"))
+        states = embed.delay_embed_by(series, p.where("m > 0"))
+        radius = sids.join(parameters.radius_legacy(states, cfg), "sid", "left").select("sid", F.coalesce("eps", F.lit(-1.0)).alias("eps")) if cfg.legacy else parameters.radius(states, cfg, sids=sids)
+        p = materialised(p.join(radius, "sid"))
     if group:
         p = sids.crossJoin(F.broadcast(parameters.group_parameters(p)))
     return p.select("sid", F.col("tau").cast("int").alias("tau"), F.col("m").cast("int").alias("m"), "eps")
@@ -32,10 +37,10 @@ def parameters_of(series: DataFrame, cfg: RqaConfig = RqaConfig(), dims: int = 1
 def feature_table(series: DataFrame, window: int = 20, step: int = 10, stats: tuple[str, ...] = ("mean", "median", "mode"), cfg: RqaConfig = RqaConfig(), dims: int = 1, normalise: bool = True, labels: DataFrame | None = None, **given) -> DataFrame:
     """id, [label], the eleven measures, win_<measure>__<stat>, tau, m and eps. The plot's pairs are
     found once and serve both the whole series and the windows."""
-    z = s.zscore(series, dims) if normalise else series
+    z = s.zscore(series, dims, 0.0 if cfg.legacy else 1e-10) if normalise else series
     p = parameters_of(z, cfg, dims, **given)
-    e = embed.delay_embed_by(z, p)
-    runs = lines.plot_runs(recurrence.recurrent_places(e, p))
+    e = embed.delay_embed_by(z, p.where("m > 0"))
+    runs = lines.plot_runs(recurrence.recurrent_places(e, p, tile=recurrence.tile_for(z)))
     whole = measures.measures_of(lines.runs_histogram(runs), lmin=cfg.lmin)
     cut = lines.windowed_runs(runs, window, step)
     summary = windows.summarise(measures.measures_of(cut, ("sid", "window_start"), cfg.lmin, window), stats)

@@ -45,8 +45,10 @@ def measures_of(hist: DataFrame, keys: tuple[str, ...] = ("sid",), lmin: int = 2
     ).select(*keys, *MEASURES)
 
 
-def rqa_measures(series: DataFrame, tau: int = 1, m: int = 1, eps: float | DataFrame = 0.5, lmin: int = 2, dims: int = 1, params: DataFrame | None = None, tile: int | None = None) -> DataFrame:
-    """The measures of each series; tau, m and eps for all, or by series from params (sid, tau, m, eps)."""
+def rqa_measures(series: DataFrame, tau: int = 1, m: int = 1, eps: float | DataFrame = 0.5, lmin: int = 2, dims: int = 1, params: DataFrame | None = None, tile: int | str | None = "auto") -> DataFrame:
+    """The measures of each series; tau, m and eps for all, or by series from params (sid, tau, m, eps).
+    Pairs are dealt out by tiles where some series is long, unless tile says otherwise."""
+    tile = recurrence.tile_for(series) if tile == "auto" else tile
     if params is not None:
         e, width, radius = embed.delay_embed_by(series, params), None, params.select("sid", "eps")
     else:
@@ -59,7 +61,7 @@ def rqa_measures_legacy(series: DataFrame, tau: int, m: int, eps: float, dims: i
     """The nine measures of the older tables: the main diagonal counts as a line, the longest line
     has n - 2 points at most, and ratios are guarded by 1e-7."""
     e = embed.delay_embed(series, tau, m)
-    hist = lines.runs_histogram(lines.plot_runs(recurrence.recurrent_places(e, eps, m * dims)))
+    hist = lines.runs_histogram(lines.plot_runs(recurrence.recurrent_places(e, eps, m * dims, recurrence.tile_for(series))))
     return legacy_of(hist, ("sid",), lmin)
 
 

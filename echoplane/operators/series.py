@@ -104,3 +104,9 @@ def matched_ends(series: DataFrame, head: float = 0.01, tail: float = 0.1, point
 def matrix_size_gib(d1: int, d2: int, d3: int, bytes_each: int = 8) -> float:
     """Memory of a dense d1 x d2 x d3 array."""
     return d1 * d2 * d3 * bytes_each / 2**30
+
+
+def fits_memory(d1: int, d2: int, d3: int, limit_gib: float = 4, bytes_each: int = 8) -> bool:
+    """Whether a dense d1 x d2 x d3 array takes less than limit_gib. Nothing here makes one; a caller that
+    wants to may ask first."""
+    return matrix_size_gib(d1, d2, d3, bytes_each) < limit_gib

@@ -17,7 +17,7 @@ class Rqa:
     def __init__(self, table: DataFrame, dims: int = 1, normalise: bool = True, config: RqaConfig | None = None, recorder: Recorder | None = None, **given):
         self.config, self.dims, self.given = config or RqaConfig(), dims, given
         self.recorder = recorder or Recorder()
-        self.series = series.zscore(table, dims) if normalise else table
+        self.series = series.zscore(table, dims, 0.0 if self.config.legacy else 1e-10) if normalise else table
         self._made: dict[str, DataFrame] = {}
         self.recorder.record("load", f"rqa = Rqa(series, dims={dims}, normalise={normalise})")
 
@@ -28,37 +28,43 @@ class Rqa:
         return self._made[name]
 
     def delay(self) -> DataFrame:
-        method = generate.delay_polynomial if self.config.tau_method == "polynomial" else lambda s, d: information.delay(s, d, self.config.mi_method)
-        return self._once("delay", lambda: method(self.series, self.dims))
+        if self.config.tau_method == "polynomial":
+            return self._once("delay", lambda: generate.delay_polynomial(self.series, self.dims, self.config.legacy))
+        if self.config.legacy:
+            return self._once("delay", lambda: information.delay_legacy(self.series, self.dims))
+        return self._once("delay", lambda: information.delay(self.series, self.dims, self.config.mi_method))
 
     def parameters(self) -> DataFrame:
         """(sid, tau, m, eps)."""
         return self._once("parameters", lambda: features.parameters_of(self.series, self.config, self.dims, **self.given).persist())
 
     def embedded(self) -> DataFrame:
-        return self._once("embedded", lambda: embed.delay_embed_by(self.series, self.parameters()))
+        return self._once("embedded", lambda: embed.delay_embed_by(self.series, self.parameters().where("m > 0")))
 
     def plot(self) -> DataFrame:
         """(sid, i, j): recurrent pairs i > j."""
         return self._once("plot", lambda: recurrence.recurrence_pairs(self.embedded(), self.parameters()))
 
     def _runs(self) -> DataFrame:
-        return lines.plot_runs(recurrence.recurrent_places(self.embedded(), self.parameters()))
+        return lines.plot_runs(recurrence.recurrent_places(self.embedded(), self.parameters(), tile=recurrence.tile_for(self.series)))
 
     def rate(self) -> DataFrame:
         return self._once("rate", lambda: recurrence.recurrence_rate(self.plot(), recurrence.sizes(self.embedded())))
 
     def measures(self, lmin: int | None = None) -> DataFrame:
         lmin = lmin or self.config.lmin
+        if self.config.legacy:
+            return self._once(f"measures_{lmin}", lambda: measures.legacy_of(lines.runs_histogram(self._runs()), ("sid",), lmin))
         return self._once(f"measures_{lmin}", lambda: measures.measures_of(lines.runs_histogram(self._runs()), lmin=lmin))
 
     def windowed(self, window: int, step: int = 1, lmin: int | None = None) -> DataFrame:
         windows.check(window, step)
         self.recorder.record("windowed", f"rqa.windowed({window}, {step})")
-        return measures.measures_of(lines.windowed_runs(self._runs(), window, step), ("sid", "window_start"), lmin or self.config.lmin, window)
+        of = measures.legacy_of if self.config.legacy else measures.measures_of
+        return of(lines.windowed_runs(self._runs(), window, step), ("sid", "window_start"), lmin or self.config.lmin, window)
 
     def summary(self, window: int, step: int = 1, stats: tuple[str, ...] = ("mean", "median", "mode")) -> DataFrame:
-        return windows.summarise(self.windowed(window, step), stats)
+        return windows.summarise(self.windowed(window, step), stats, measures.LEGACY_MEASURES if self.config.legacy else measures.MEASURES)
 
     def group_radius(self) -> DataFrame:
         return parameters.group_radius_joint(self.embedded(), self.config)

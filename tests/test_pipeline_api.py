@@ -66,10 +66,24 @@ def test_recorder():
     assert r.n_blocks == 0
 
 
-def test_no_setting_that_nothing_reads():
-    import pytest
-
+def test_older_forms_behind_the_setting(spark):
     from echoplane.config import RqaConfig
+    from echoplane.operators import information, parameters
+
+    t = np.linspace(0, 9, 60)
+    table = sources.from_arrays(spark, [np.sin(t), np.cos(2 * t) + 0.05 * np.random.default_rng(1).normal(size=60)])
+    cfg = RqaConfig(compat="legacy", rdiv=20, epsdiv=101)
+    run = Rqa(table, config=cfg)
+    got = {r.sid: r for r in run.parameters().collect()}
+    z = series.zscore(table, 1, 0.0)
+    tau = information.delay_legacy(z)
+    assert {r.sid: r.tau for r in tau.collect()} == {s: r.tau for s, r in got.items()}
+    assert {r.sid: r.m for r in parameters.embedding_dimension_legacy(z, tau, cfg).collect()} == {s: r.m for s, r in got.items()}
+    assert "percent_det" in Rqa(table, config=cfg, tau=1, m=2, eps=0.5).measures().columns
+    assert Rqa(table, config=cfg, tau=1, m=2, eps=0.5).windowed(20, 10).where("recc_rate > 0").count() == 8
+    with pytest.raises(ValueError):
+        RqaConfig(compat="other")
 
-    with pytest.raises(TypeError):
-        RqaConfig(compat="legacy")
+
+def test_memory_guard():
+    assert series.fits_memory(100, 200, 300) and not series.fits_memory(1000, 1000, 1000)
