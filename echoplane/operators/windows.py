@@ -92,7 +92,7 @@ def pooled_histogram(series: DataFrame, window: int, kind: str = "diag", legacy:
         )
         zeros = F.lit(window * (window + 1)) - (F.col("ones") + 2 * window) - (F.col("runs") + 2) + 2 * window
         own = own.union(all_windows.select("sid", "window_start", F.lit(window), F.lit(1).cast("long"))).union(all_windows.select("sid", "window_start", F.lit(0), zeros)).where("cnt > 0")
-        own = materialised(own)  # a row a window and length; the plans of all sizes together grow too large else
+    own = materialised(own)  # a row a window and length, used three times
     total = own.groupBy("sid", "window_start").agg(F.sum("cnt").alias("s"))
     share = own.join(total, ["sid", "window_start"]).groupBy("sid", "len").agg(F.sum(F.col("cnt") / F.col("s")).alias("p"))
     windows = series.groupBy("sid").agg((F.count(F.lit(1)) - (kw.get("m", 1) - 1) * kw.get("tau", 1) - window + 1).alias("w"))

@@ -291,9 +291,9 @@ def _sensitivity(spark, d, measures, legacy=False, sizes=(15, 25), n_boot=100):
 
 @query("window_sensitivity")
 def _(spark, d):
-    return _sensitivity(spark, d, generate.SENSITIVITY)
+    return _sensitivity(spark, d, ("laminarity", "average_diagonal_length"))
 
 
 @query("window_sensitivity_legacy")
 def _(spark, d):
-    return _sensitivity(spark, d, generate.LEGACY_SENSITIVITY, True)
+    return _sensitivity(spark, d, ("percent_lam", "avg_diag"), True)
