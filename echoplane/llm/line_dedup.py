@@ -3,7 +3,8 @@
 The key of a line is the line without white space (0x20, 0x09-0x0D) at its ends and
 with A-Z in lower case. A key of MIN_CHARS code points or more that several documents
 hold loses its lines in all of them but the one with the smallest doc_id. Keys are
-carried as 128-bit digests and dealt to shards by digest. Each shard has an exact table
+carried as 128-bit digests, which are taken as equal where they are equal, and dealt to
+shards by digest. Each shard has an exact table
 ``digest -> (documents that hold it, smallest of them)`` and, before it, a cuckoo filter
 of the table's keys: a key that the filter does not know is new and needs no look-up,
 and keys can be taken out again, which lets `LineIndex` insert and delete documents.
@@ -194,7 +195,7 @@ def _chunk_sums(n_shards: int):
                 out[0].append(s)
                 out[1].append(pack(keys[at], sums[at, 0], sums[at, 1]))
             if settled:  # a bundle of its own, to any shard
-                out[0].append(int(Shard.hashes(drop_key[:1])[0] % U(n_shards)))
+                out[0].append(int(mix(drop_id[:1].view(np.uint64) + U(1))[0] % U(n_shards)))
                 out[1].append(pack(drop_id, drop_key))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["shard", "bundle"])
 
@@ -368,11 +369,14 @@ class LineIndex:
         met = both.groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
         refs = self.refs.join(maybe.select("key"), "key", "left_anti").select("shard", "key", "n", "first")
         refs = cut(refs.unionByName(met).unionByName(probed.where("not known").select("shard", "key", "n", "first")))
-        return LineIndex(cut(self.postings.unionByName(new)), refs, self._filters(refs), self.n_shards)
+        # Only shards that got a key have a new filter.
+        touched = probed.select("shard").distinct()
+        filters = self.filters.join(touched, "shard", "left_anti").unionByName(self._filters(refs.join(touched, "shard", "left_semi")))
+        return LineIndex(cut(self.postings.unionByName(new)), refs, cut(filters), self.n_shards)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """The index without the documents whose doc_id is in ids."""
-        gone_ids = ids.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+        """The index without the documents whose doc_id is in ids; a null there stands for the one without."""
+        gone_ids = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")).distinct()
         gone = cut(self.postings.join(gone_ids, "_id", "left_semi").select("key", "_id"))
         postings = cut(self.postings.join(gone_ids, "_id", "left_anti").select("key", "_id"))
         touched = gone.groupBy("key").agg(F.count(F.lit(1)).alias("less"))
@@ -403,7 +407,7 @@ class LineIndex:
             shard.rebuild()
             return pa.table([table.column("shard").slice(0, 1), pa.array([pack(shard.filter.table)], pa.binary())], names=["shard", "filter"])
 
-        return cut(refs.groupBy("shard").applyInArrow(build, "shard long, filter binary"))
+        return refs.groupBy("shard").applyInArrow(build, "shard long, filter binary")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs, which the index holds, with repeated lines cut, as `dedup_lines` does."""

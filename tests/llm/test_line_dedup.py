@@ -22,10 +22,33 @@ def _out(df):
     return {r.doc_id: (r._n_lines, r._n_dropped, r.sha) for r in rows}
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     texts = _texts()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     assert _out(m.dedup_lines(df)) == m.brute_force(texts)
+    monkeypatch.setattr(m, "MOST_BYTES", 200)  # most shards are too large to gather
+    assert _out(m.dedup_lines(df)) == m.brute_force(texts)
+
+
+def test_settled_lines_go_to_any_shard():
+    import pyarrow as pa
+
+    page = "\n".join(f"line {k} of the page that is everywhere" for k in range(40))
+    got = {}
+    for c in range(60):
+        batch = pa.RecordBatch.from_pydict({"_id": list(range(c * 9, c * 9 + 9)), "text": [page + f"\nown line number {c}.{k}" for k in range(9)]})
+        for b in m._chunk_sums(32)(iter([batch])):
+            for shard, bundle in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[shard] = got.get(shard, 0) + len(bundle)
+    sizes = sorted(got.values())
+    assert sizes[-1] < 5 * sizes[len(sizes) // 2]
+
+
+def test_deleting_what_has_no_id(spark):
+    line = "a line that is long enough"
+    df = spark.createDataFrame([(None, line), (4, line), (7, line)], "doc_id long, text string")
+    index = m.LineIndex.empty(spark, 2).insert(df).delete(spark.createDataFrame([(None,), (4,)], "doc_id long"))
+    assert [(r["n"], r["first"]) for r in index.refs.collect()] == [(1, 7)] and index.filters.count() == 1
 
 
 def test_odd_rows(spark):
