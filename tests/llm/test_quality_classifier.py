@@ -42,3 +42,49 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() <= 12
     assert m.classify(df, m.fit(df)).count() == 12
     assert m.keep_good(df.limit(0)).count() == 0
+
+
+def test_em_by_definition():
+    """The same estimates, document by document."""
+    rng = np.random.default_rng(4)
+    votes = rng.integers(0, 4, (60, len(m.LABELLERS)))
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, prior, rates = m.expectation_maximisation(patterns, counts.astype(float), 3)
+    guess = np.full((3, 4), 0.1)
+    guess[[0, 1, 2], [0, 1, 2]], guess[:, 3] = 0.8, 1.0
+    first = {j: guess.copy() for j in range(votes.shape[1])}
+    for j, name in enumerate(m.LABELLERS):
+        if name not in ("insults", "labels"):
+            first[j][m.TOXIC] = guess[m.CLEAN]
+        first[j] = first[j] / first[j].sum(axis=1, keepdims=True)
+    share, rate = [0.6, 0.25, 0.15], {j: first[j].copy() for j in first}
+    for _ in range(3):
+        post = []
+        for v in votes:
+            p = [share[k] * np.prod([rate[j][k, v[j]] for j in rate]) for k in range(3)]
+            post.append([x / sum(p) for x in p])
+        share = [(sum(q[k] for q in post) + 1) / (len(votes) + 3) for k in range(3)]
+        for j in rate:
+            for k in range(3):
+                seen = [sum(q[k] for q, v in zip(post, votes) if v[j] == x) + 4.0 * first[j][k, x] for x in range(4)]
+                rate[j][k] = np.array(seen) / sum(seen)
+    assert np.allclose(posterior[back.ravel()], post) and np.allclose(prior, share) and all(np.allclose(rates[j], rate[j]) for j in rate)
+
+
+def test_odd_labels_and_the_bound_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "Plain words are here, and they go on for a while. " * 3 if i % 2 else "#### $$$$ **** |||| <<<< " * 9) for i in range(60)] + [(None, "x"), (1, "# $")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 0, 1), (2, None, None), (2, 0, None), (4, 0, 0), (4, 0, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.keep for r in m.classify(docs.where("doc_id is not null and length(text) > 5"), m.fit(docs, labels)).collect()}
+    assert all(kept[i] == bool(i % 2) for i in range(60))
+    monkeypatch.setattr(m, "TRAIN_BYTES", 1)  # one document, and still a model
+    assert m.fit(docs, labels).any()
+
+
+def test_a_tie_is_kept(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    assert m.keep_good(docs.limit(0)).count() == 0
+    rows = m.classify(docs, np.zeros((m.FEATURES, 3))).collect()
+    assert all(abs(r.p_clean - 1 / 3) < 1e-9 and not r.keep for r in rows)
+    even = np.zeros((m.FEATURES, 3))
+    even[:, m.TOXIC] = -1e3
+    assert all(r.p_clean == 0.5 and r.keep for r in m.classify(docs, even).collect())
