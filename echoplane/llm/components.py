@@ -1,6 +1,7 @@
 """Connected components of a graph held as a table of edges, without gathering it anywhere.
 
-Each round first joins up, within every partition, what its own edges connect, and then
+Partitions first join up what their own edges connect. Where at most FEW edges are left,
+one task joins those up. Else each round joins up within partitions again and
 alternates large-star and small-star steps (minimum over neighbours, then a join): each
 node's edges move to smaller nodes until every component is a star around its smallest
 node. Minima are combined before the shuffle and the joins leave skewed keys to Spark's
@@ -20,6 +21,8 @@ from ._common import cut
 
 #: Edges that a task joins up at a time.
 BLOCK = 1 << 20
+#: So few stars that one task joins them all up: 16 MB.
+FEW = 1 << 20
 
 
 def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes that are the smallest of their own component are not listed."""
     schema = "u long, v long"
     e = cut(edges.mapInArrow(_contract, schema).distinct())
+    if e.count() <= FEW:
+        return e.coalesce(1).mapInArrow(_contract, schema).toDF("node", "component")
     while True:
         # Large star: what is linked to a larger neighbour gets that neighbour a link to its minimum.
         both = e.union(e.select("v", "u")).toDF("a", "b")

@@ -35,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import NULL_ID, U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, shuffle_partitions, unpack, word_spans, words_joined
+from . import near_copies
 from .components import components
+from .rows import ROW, first_rows, named_rows
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -219,7 +220,8 @@ def links(nodes: DataFrame) -> DataFrame:
     total, found = nodes.count() * (MAX_BITS + 1), None
     for level in range(MAX_LEVEL + 1):
         n_buckets = max(4 * shuffle_partitions(spark), math.ceil(total / BUCKET_ROWS))
-        dealt = rows.mapInArrow(_deal(level, n_buckets), "bucket long, key long, path long, fp long, id long")
+        # Read for the counts of keys, for those that are settled and for those that are dealt again.
+        dealt = cut(rows.mapInArrow(_deal(level, n_buckets), "bucket long, key long, path long, fp long, id long"))
         hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
         more = level < MAX_LEVEL and (n_hot := (hot := cut(hot)).agg(F.sum("n")).first()[0])
         now = dealt.join(hot.select("key"), "key", "left_anti") if more else dealt
@@ -255,38 +257,17 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return out.select(known("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("_component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id."""
+def keep_first(docs: DataFrame, similar: tuple[int, int] | None = None, width: int | None = None) -> DataFrame:
+    """docs with one document of each component, the one with the smallest id. By default documents are
+    linked by their fingerprints' bits. Where a Jaccard similarity of word shingles is asked for
+    (as a fraction; runs of 5 words unless width says otherwise), bits cannot tell: `near_copies`
+    finds those links, all of them."""
+    if similar:
+        return near_copies.keep_first(docs, width or near_copies.WIDTH, similar)
     prints = cut(fingerprints(named_rows(docs), *ROW))
     return first_rows(docs, prints.join(roots(prints).select("fp", "_root"), "fp"))
 
 
-#: What names a row: id with nulls last, text hash, hash of all columns.
-ROW = ("_id", "_th", "_rh")
-
-
-def named_rows(docs: DataFrame) -> DataFrame:
-    """docs as (_row, text) with the columns of ROW."""
-    text = F.col("text").cast("string")
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    return docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
-        text.alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"),
-        F.xxhash64(*plain).alias("_rh"),
-    )
-
-
-def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """docs with the first row, by ROW, of each _root of rooted (_root and ROW)."""
-    first = rooted.groupBy("_root").agg(F.min(F.struct(*ROW)).alias("f")).select("f.*")
-    left = named_rows(docs).drop("text").join(first, list(ROW), "left_semi")
-    # Rows that are equal in all columns are told apart by nothing but their number.
-    one = left.withColumn("_n", F.row_number().over(W.partitionBy(*ROW).orderBy("_id"))).where("_n = 1")
-    return one.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
-
-
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[str, int]]:
     """The definition, pair by pair; for tests."""
     prints = {}

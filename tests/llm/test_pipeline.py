@@ -1,7 +1,7 @@
 import hashlib
 
 import corpus_pipeline as p
-from echoplane.llm import bpe, line_dedup, simhash
+from echoplane.llm import bpe, line_dedup, near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
             want = line_dedup.brute_force(before)
             assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in after.items()} == {i: x[2] for i, x in want.items()}
         elif name == "SimHash near-dedup":
-            assert set(after) == {i for i, (_, c) in simhash.brute_force(before).items() if i == c}
+            assert set(after) == near_copies.brute_force(before)
         elif name == "benchmark decontamination":
             items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
             text = {i: " ".join(t.split()) for i, t in before.items()}
@@ -38,3 +38,22 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 def test_run(spark):
     out = p.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() > 50
+
+
+def test_odd_tables(spark, tmp_path):
+    text = " ".join(f"Word{k} goes on here." for k in range(40))
+    rows = [(None, text, "en"), (None, text + " more", "en"), (3, text, None), (3, "An entirely different text, which is long enough to be kept as it is.", "en"), (4, None, "en"), (5, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for part in (docs, docs.limit(0)):
+        out = part
+        for name, stage in p.STAGES:
+            before = out
+            out = stage(spark, out, SF)
+            out.write.mode("overwrite").parquet(str(tmp_path / name))
+            out = spark.read.parquet(str(tmp_path / name))
+            if name == "SimHash near-dedup" and part is docs:
+                left = [(r.doc_id, r.text) for r in out.collect()]
+                assert (3, rows[3][1]) in left and sum(t is not None and t.startswith("Word0") for _, t in left) == 1
+            if name != p.STAGES[-1][0]:
+                assert out.columns == before.columns
+        assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and (part is docs or out.count() == 0)

@@ -46,10 +46,13 @@ def test_forest_connects_what_is_near():
     assert got == want
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     path = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (5000, 400)] + [(7, 1000 + i) for i in range(50)]
-    got = {r.node: r.component for r in c.components(spark.createDataFrame(path, "u long, v long").repartition(7)).collect()}
-    assert got == {i: 0 for i in [*range(1, 61), *range(1000, 1050)]} | {200: 100, 300: 100, 5000: 400}
+    want = {i: 0 for i in [*range(1, 61), *range(1000, 1050)]} | {200: 100, 300: 100, 5000: 400}
+    for few in (c.FEW, -1):
+        monkeypatch.setattr(c, "FEW", few)
+        got = {r.node: r.component for r in c.components(spark.createDataFrame(path, "u long, v long").repartition(7)).collect()}
+        assert got == want
     assert c.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
