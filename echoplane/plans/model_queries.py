@@ -143,14 +143,14 @@ _KW = dict(window=20, step=20, stats=("mean",), tau=1, m=2, eps=0.5)
 @query("surrogate_null")
 def _(spark, d):
     labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sid"), "label")
-    return nulls.surrogate_null(sources.emb(spark, d), labels, n=19, model="nb", outer=4, **_KW)
+    return nulls.surrogate_null(sources.emb(spark, d), labels, ("FT",), 19, "nb", 4, **_KW)
 
 
 @query("surrogate_cluster_null")
 def _(spark, d):
-    return nulls.surrogate_cluster_null(sources.emb(spark, d), n=19, ks=range(2, 4), **_KW)
+    return nulls.surrogate_cluster_null(sources.emb(spark, d), ("AAFT",), 19, ks=range(2, 4), **_KW)
 
 
 @query("surrogate_validation")
 def _(spark, d):
-    return nulls.validation(sources.ev_user(spark, d), n=19)
+    return nulls.validation(sources.ev_user(spark, d), n=2)
