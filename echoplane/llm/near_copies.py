@@ -5,14 +5,18 @@ A document is the set of its distinct runs of WIDTH words, lower-cased in ASCII
 words where it has fewer). Documents whose sets have a Jaccard similarity of SIMILAR or more
 are linked; linked documents form components. Equal sets, empty ones too, are one node.
 
-Fingerprints cannot bring such pairs together: at a similarity of 0.8 two fingerprints of 64
-bits differ in 10 bits on average and in up to 20, where no mask of more than 3 bits need be
-equal and pivots' distances of unlike texts differ by less than that, so nothing would be
-discarded. Candidates are found on the sets instead, and all of them: under any common
+Links are found through fingerprints first: each set has a SimHash fingerprint, a bit being set
+where more than half of the shingles' hashes have it set, and the pivot distance tables of `simhash`
+bring together all fingerprints that differ in PRINT_BITS bits or fewer. What they bring together is
+verified on the sets. At a similarity of 0.8 fingerprints differ in 10 bits on average and in up to
+20, where all keys of a table would hold all texts, so some links stay unseen.
+
+Those links are found exactly, on the sets: under any common
 order of shingles, two sets as similar as that share one among the first
 n - ceil(SIMILAR * n) + 1 of each, and those are the keys by which sets meet. Shingles that
 are common in a sample come last in the order, so keys are rare; the sample steers how many
-candidates there are, never what is found. Bounds discard candidates that cannot be similar:
+candidates there are, never what is found. Candidates that fingerprints have connected are
+settled and not looked at again. Bounds discard candidates that cannot be similar:
 sizes, and words of parities (each element in which two sets differ flips one bit at most;
 a set of n elements has two to four bits an element). What survives is verified on the sets,
 which are worked out again for the documents in question only: neither sets nor texts are
@@ -38,12 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, shuffle_partitions, slice_hashes, unpack, word_spans, words_joined
+from . import simhash
 from .components import components
 from .rows import ROW, first_rows, named_rows
 
 WIDTH = 5
 #: As a fraction.
 SIMILAR = (4, 5)
+#: Bits in which the fingerprints of candidates differ at most, and near ones that a fingerprint
+#: names where a key gives it more.
+PRINT_BITS = 11
+NEAREST = 4
 SAMPLE_DOCS = 4_000
 #: Documents of the sample that make a shingle common, and common ones that are kept at most.
 COMMON = 3
@@ -96,6 +105,16 @@ def set_name(s: np.ndarray) -> np.uint64:
     return mix(np.array([np.add.reduce(mix(s)) + U(len(s))], np.uint64))[0]
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash fingerprint of each set, as uint64."""
+    n = np.array([len(s) for s in sets], np.int64)
+    doc, h = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    votes = np.zeros((len(sets), 64), np.int64)
+    for s in range(0, len(h), simhash.VOTES):
+        simhash.vote(votes, doc[s : s + simhash.VOTES], h[s : s + simhash.VOTES])
+    return simhash.majority(votes, n)
+
+
 def parities(s: np.ndarray) -> np.ndarray:
     """Whether an odd number of s falls to each of some classes, a power of two of them, packed."""
     bits = min(BITS[1], max(BITS[0], 1 << (2 * len(s)).bit_length()))
@@ -154,7 +173,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(ROW, set, n, wide) for each row: its set's name, size and parities."""
+    """(ROW, set, n, fp, wide) for each row: its set's name, size, fingerprint and parities."""
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +181,10 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             sets = ordered_sets(as_bytes(table.column("text").combine_chunks()), none, width)
             name = np.array([set_name(s) for s in sets], np.uint64).view(np.int64)
             wide = pa.array([parities(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ROW), pa.array(name), pa.array([len(s) for s in sets], pa.int64()), wide], names=[*ROW, "set", "n", "wide"])
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ROW), pa.array(name), pa.array([len(s) for s in sets], pa.int64()), pa.array(fingerprints(sets).view(np.int64)), wide], names=[*ROW, "set", "n", "fp", "wide"])
 
     rows = named_rows(bounded_batches(docs)).select(*ROW, "text")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*ROW, "set", "n")) + ", wide binary")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*ROW, "set", "n", "fp")) + ", wide binary")
 
 
 def _deal(n_buckets: int, common, width: int, similar: tuple[int, int]):
@@ -307,6 +326,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, si
     return found if rest.isEmpty() else found.union(_similar(rest, docs, sets, width, similar))
 
 
+def by_fingerprints(docs: DataFrame, sets: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Links (u, v) between similar sets that the pivot tables of their fingerprints bring together; a set whose
+    fingerprint another one has is a candidate with the least such set."""
+    nodes = cut(sets.groupBy("fp").agg(F.min("set").alias("id")))
+    equal = sets.join(nodes, "fp").where("id <> set").select(F.col("id").alias("u"), F.col("set").alias("v"))
+    near = simhash.links(nodes, PRINT_BITS, NEAREST).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return _verified(near.union(equal), docs, sets, width, similar)
+
+
 def _across(similar: tuple[int, int]):
     """A pair of blocks of a large group -> links that connect the components of its similar sets. Sets that
     are connected by now are not compared, and no more links leave than there are components."""
@@ -401,14 +429,16 @@ def _groups(large: DataFrame, found: DataFrame, docs: DataFrame, sets: DataFrame
 
 
 def links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between sets of docs that connect all similar ones; sets has (set, n, wide, row)."""
+    """Links (u, v) between sets of docs that connect all similar ones; sets has (set, n, fp, wide, row)."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, width))
     total = (sets.agg(F.sum("n")).first()[0] or 0) * (1 - similar[0] / similar[1])
     n_buckets = max(4 * shuffle_partitions(spark), math.ceil(total / BUCKET_ROWS))
     bundles = bounded_batches(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_deal(n_buckets, common, width, similar), "bucket long, bundle binary")
     met = cut(bundles.groupBy("bucket").applyInArrow(_meet(similar, small), "u long, v long, large binary"))
-    found = _verified(met.where("u is not null"), docs, sets, width, similar)
+    known = cut(by_fingerprints(docs, sets, width, similar))
+    unseen = _apart(met.where("u is not null").select("u", "v"), components(known).toDF("set", "root"))
+    found = cut(known.union(_verified(unseen, docs, sets, width, similar)))
     large = met.where("large is not null").select("large")
     if large.isEmpty():
         return found
@@ -418,7 +448,7 @@ def links(docs: DataFrame, sets: DataFrame, width: int = WIDTH, similar: tuple[i
 def keep_first(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs with one document of each component, the one with the smallest id."""
     rows = cut(described(docs, width))
-    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.min(F.struct(*ROW)).alias("row"))
+    sets = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min(F.struct(*ROW)).alias("row"))
     parts = components(links(docs, cut(sets), width, similar)).toDF("set", "_root")
     return first_rows(docs, rows.select(*ROW, "set").join(parts, "set", "left").withColumn("_root", F.coalesce("_root", "set")))
 

@@ -18,6 +18,9 @@ fingerprint gets a table of Hamming distances to reference fingerprints (pivots)
 
 Within a key only a spanning forest of the links is emitted, never all pairs.
 
+Where `keep_first` is asked for a similarity, the same tables bring candidates together at more
+bits (`links` with bits and each), and `near_copies` verifies them on the sets of shingles.
+
 Defined results for odd rows: a null text has no words and fingerprint zero; a null
 doc_id takes part and sorts last, and its component_id is null only if all ids of the
 component are null; rows with equal doc_id, or none, are linked by their texts only, as
@@ -38,7 +41,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NULL_ID, U, as_bytes, bounded_batches, chunks, cut, mix, pack, release, shuffle_partitions, unpack, word_spans, words_joined
-from . import near_copies
 from .components import components
 from .rows import ROW, first_rows, named_rows
 
@@ -50,11 +52,27 @@ PIVOTS = 8
 HOT = 20_000
 #: Fingerprints (with their copies for each mask) that a bucket holds on average.
 BUCKET_ROWS = 200_000
+#: Hashes that vote at a time.
+VOTES = 1 << 17
+#: Fingerprints that are compared with the others of their key at a time.
+ROWS = 64
 _rng = np.random.default_rng(2024)
 _REFERENCE = _rng.integers(0, 2**64, REFERENCES, dtype=np.uint64)
 _PIVOT = _rng.integers(0, 2**64, PIVOTS, dtype=np.uint64)
 
 
+def vote(votes: np.ndarray, doc: np.ndarray, h: np.ndarray) -> None:
+    """Adds the set bits of each hash to the row of votes of its document; doc is sorted."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    votes[doc[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+
+
+def majority(votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprints, as uint64: bits that more than half of each row's n hashes have set."""
+    return np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text, as uint64."""
     text, counts = words_joined([t.lower() for t in texts])
@@ -65,15 +83,13 @@ def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + first[doc]
     last = np.minimum(at + shingle, first[doc] + counts[doc]) - 1
     votes = np.zeros((len(texts), 64), np.int64)
-    digest, block = xxhash.xxh64_intdigest, 1 << 17
+    digest, block = xxhash.xxh64_intdigest, VOTES
     for s in range(0, len(doc), block):
         d = doc[s : s + block]
         pairs = zip(starts[at[s : s + block]].tolist(), ends[last[s : s + block]].tolist())
         h = np.fromiter((digest(text[a:b], 42) for a, b in pairs), np.uint64, len(d))
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        votes[d[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        vote(votes, d, h)
+    return majority(votes, n)
 
 
 def fingerprints(docs: DataFrame, *names: str) -> DataFrame:
@@ -97,20 +113,22 @@ def split_mask(mask: int, parts: int = MAX_BITS + 1) -> list[int]:
     return [sum(x.tolist()) for x in np.array_split(np.array(bits, dtype=object), parts)]
 
 
-def masks(path: int, level: int) -> list[int]:
-    """The masks that follow a path of choices (two bits a level) made so far."""
-    free, chosen = 2**64 - 1, split_mask(2**64 - 1)
+def masks(path: int, level: int, bits: int = MAX_BITS) -> list[int]:
+    """The masks that follow a path of choices (four bits a level) made so far."""
+    free, chosen = 2**64 - 1, split_mask(2**64 - 1, bits + 1)
     for k in range(level):
-        free &= ~chosen[path >> (2 * k) & 3]
-        chosen = split_mask(free)
+        free &= ~chosen[path >> (4 * k) & 15]
+        chosen = split_mask(free, bits + 1)
     return chosen
 
 
 #: Levels after which so few bits are free that a key has few fingerprints in any case.
 MAX_LEVEL = 5
+#: The same where candidates are asked for, which many more masks deal.
+WIDE_LEVEL = 1
 
 
-def _deal(level: int, n_buckets: int):
+def _deal(level: int, n_buckets: int, bits: int):
     """(key, path, fp, id) -> the same for the keys of the next masks, packed by bucket."""
 
     def run(batches):
@@ -119,13 +137,13 @@ def _deal(level: int, n_buckets: int):
             keys, paths, rows = [], [], []
             for p in np.unique(path).tolist():
                 at = np.flatnonzero(path == p)
-                for band, m in enumerate(masks(p, level)):
+                for band, m in enumerate(masks(p, level, bits)):
                     x = fp[at].view(np.uint64) & U(m)
                     table = np.zeros(len(at), np.uint64)
                     for r in _REFERENCE:
                         table = (table << U(5)) | np.bitwise_count(x ^ (r & U(m))).astype(np.uint64)
                     keys.append(mix(mix(table) + key[at].view(np.uint64) * U(0x9E3779B97F4A7C15) + U(band + 1)))
-                    paths.append(np.full(len(at), p | band << (2 * level)))
+                    paths.append(np.full(len(at), p | band << (4 * level)))
                     rows.append(at)
             if not keys:
                 continue
@@ -157,7 +175,7 @@ def _bundle(batches):
         yield out()
 
 
-def link_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def link_forest(fp: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among fp: pairs of positions."""
     coords = np.bitwise_count(fp[:, None] ^ _PIVOT).astype(np.int8)
     left, a, b = np.arange(len(fp)), [], []
@@ -166,12 +184,12 @@ def link_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while queue and len(left):
             u = queue.pop()
             near = left
-            for j in range(PIVOTS):  # the largest coordinate difference must not pass MAX_BITS
-                near = near[np.abs(coords[near, j] - coords[u, j]) <= MAX_BITS]
+            for j in range(PIVOTS):  # the largest coordinate difference must not pass bits
+                near = near[np.abs(coords[near, j] - coords[u, j]) <= bits]
                 if len(near) < 64:
-                    near = near[(np.abs(coords[near] - coords[u]) <= MAX_BITS).all(axis=1)]
+                    near = near[(np.abs(coords[near] - coords[u]) <= bits).all(axis=1)]
                     break
-            hit = near[np.bitwise_count(fp[near] ^ fp[u]) <= MAX_BITS]
+            hit = near[np.bitwise_count(fp[near] ^ fp[u]) <= bits]
             if len(hit):
                 a.append(np.full(len(hit), u))
                 b.append(hit)
@@ -181,56 +199,101 @@ def link_forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _link(table: pa.Table) -> pa.Table:
+def near_pairs(fp: np.ndarray, bits: int, each: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions: each of fp and all that differ in at most bits bits, or the `each` nearest
+    where there are more. More than run of them are compared in runs of neighbours by value."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = np.argsort(fp, kind="stable")
+    for s in range(0, len(fp), run):
+        at = order[s : s + run]
+        coords = np.bitwise_count(fp[at] ^ _PIVOT[:, None]).astype(np.int8)
+        # The first coordinate bounds what a block of rows is compared with at all.
+        spread = np.argsort(-coords.std(axis=1))
+        o = np.argsort(coords[spread[0]], kind="stable")
+        at, coords = at[o], np.ascontiguousarray(coords[spread][:, o])
+        x = fp[at]
+        for p in range(0, len(x), ROWS):
+            own, c = x[p : p + ROWS], coords[:, p : p + ROWS]
+            lo, hi = np.searchsorted(coords[0], [c[0, 0] - bits, c[0, -1] + bits + 1])
+            far = np.zeros((len(own), hi - lo), bool)
+            for k in range(PIVOTS):  # the largest coordinate difference must not pass bits
+                far |= np.abs(c[k][:, None] - coords[k, lo:hi]) > bits
+            near = (np.bitwise_count(own[:, None] ^ x[lo:hi]) <= bits) & ~far
+            i, j = np.divmod(np.flatnonzero(near), hi - lo)
+            j += lo
+            i, j = i[i + p != j], j[i + p != j]
+            d = np.bitwise_count(own[i] ^ x[j])
+            edges = np.searchsorted(i, np.arange(len(own) + 1))
+            for r in np.flatnonzero(np.diff(edges) > each).tolist():
+                u, v = edges[r], edges[r + 1]
+                nearest = j[u:v][np.argpartition(d[u:v], each - 1)[:each]]
+                a.append(np.full(each, at[p + r]))
+                b.append(at[nearest])
+            few = (np.diff(edges) <= each)[i]
+            a.append(at[p + i[few]])
+            b.append(at[j[few]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _link(bits: int, each: int | None, run: int):
     """A bucket's bundles -> links (u, v) between ids."""
-    parts = [unpack(x.as_py()) for x in table.column("bundle")]
-    key, fp, id_ = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.argsort(key, kind="stable")
-    key, fp, id_ = key[order], fp[order].view(np.uint64), id_[order]
-    coords = np.bitwise_count(fp[:, None] ^ _PIVOT).astype(np.int8)
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    sizes = np.diff(edges)
-    u, v = [], []
-    # Small groups all at once: each row against the one d places on.
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(key)) - edges[:-1][group]
-    small = sizes[group] <= 8
-    for d in range(1, 8):
-        i = np.flatnonzero(small & (place + d < sizes[group]))
-        i = i[(np.abs(coords[i] - coords[i + d]) <= MAX_BITS).all(axis=1)]
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= MAX_BITS]
-        u.append(id_[i])
-        v.append(id_[i + d])
-    for g in np.flatnonzero(sizes > 8).tolist():
-        s, e = edges[g], edges[g + 1]
-        a, b = link_forest(fp[s:e])
-        u.append(id_[s:e][a])
-        v.append(id_[s:e][b])
-    out = pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-    del parts, coords, key, fp
-    release()
-    return out
-
-
-def links(nodes: DataFrame) -> DataFrame:
+
+    def link(table: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in table.column("bundle")]
+        key, fp, id_ = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(key, kind="stable")
+        key, fp, id_ = key[order], fp[order].view(np.uint64), id_[order]
+        coords = np.bitwise_count(fp[:, None] ^ _PIVOT).astype(np.int8)
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        sizes = np.diff(edges)
+        u, v = [], []
+        # Small groups all at once: each row against the one d places on.
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(key)) - edges[:-1][group]
+        small = sizes[group] <= 8
+        for d in range(1, 8):
+            i = np.flatnonzero(small & (place + d < sizes[group]))
+            i = i[(np.abs(coords[i] - coords[i + d]) <= bits).all(axis=1)]
+            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= bits]
+            u.append(id_[i])
+            v.append(id_[i + d])
+        for g in np.flatnonzero(sizes > 8).tolist():
+            s, e = edges[g], edges[g + 1]
+            a, b = near_pairs(fp[s:e], bits, each, run) if each else link_forest(fp[s:e], bits)
+            u.append(id_[s:e][a])
+            v.append(id_[s:e][b])
+        out = pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+        del parts, coords, key, fp
+        release()
+        return out
+
+    return link
+
+
+def links(nodes: DataFrame, bits: int = MAX_BITS, each: int | None = None) -> DataFrame:
     """nodes (fp, id), fp distinct -> links (u, v) between ids that connect all fingerprints
-    that differ in MAX_BITS bits or fewer."""
+    that differ in bits bits (15 at most) or fewer. With each, the pairs themselves, as candidates of a
+    closer look: all of them, but for fingerprints that more than `each` others are near to under one key,
+    which name their nearest, and for keys that are hot at the last level, which are compared in runs of HOT."""
     spark = nodes.sparkSession
+    last = WIDE_LEVEL if each else MAX_LEVEL
     rows = nodes.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("path"), "fp", "id")
-    total, found = nodes.count() * (MAX_BITS + 1), None
-    for level in range(MAX_LEVEL + 1):
+    total, found = nodes.count() * (bits + 1), None
+    for level in range(last + 1):
         n_buckets = max(4 * shuffle_partitions(spark), math.ceil(total / BUCKET_ROWS))
-        # Read for the counts of keys, for those that are settled and for those that are dealt again.
-        dealt = cut(rows.mapInArrow(_deal(level, n_buckets), "bucket long, key long, path long, fp long, id long"))
-        hot = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-        more = level < MAX_LEVEL and (n_hot := (hot := cut(hot)).agg(F.sum("n")).first()[0])
+        dealt = rows.mapInArrow(_deal(level, n_buckets, bits), "bucket long, key long, path long, fp long, id long")
+        if level < last:
+            # Read for the counts of keys, for those that are settled and for those that are dealt again.
+            dealt = cut(dealt)
+            hot = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
+        more = level < last and (n_hot := hot.agg(F.sum("n")).first()[0])
         now = dealt.join(hot.select("key"), "key", "left_anti") if more else dealt
-        new = now.select("bucket", "key", "fp", "id").mapInArrow(_bundle, "bucket long, bundle binary").groupBy("bucket").applyInArrow(_link, "u long, v long")
+        new = now.select("bucket", "key", "fp", "id").mapInArrow(_bundle, "bucket long, bundle binary").groupBy("bucket").applyInArrow(_link(bits, each, HOT), "u long, v long")
         found = new if found is None else found.union(new)
         if not more:
             return found
         rows = cut(dealt.join(hot.select("key"), "key", "left_semi").select("key", "path", "fp", "id"))
-        total = n_hot * (MAX_BITS + 1)
+        total = n_hot * (bits + 1)
     return found
 
 
@@ -260,9 +323,11 @@ def op3(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, similar: tuple[int, int] | None = None, width: int | None = None) -> DataFrame:
     """docs with one document of each component, the one with the smallest id. By default documents are
     linked by their fingerprints' bits. Where a Jaccard similarity of word shingles is asked for
-    (as a fraction; runs of 5 words unless width says otherwise), bits cannot tell: `near_copies`
-    finds those links, all of them."""
+    (as a fraction; runs of 5 words unless width says otherwise), fingerprints that differ in few bits make
+    candidates; `near_copies` verifies them and finds the links that no such bits show."""
     if similar:
+        from . import near_copies  # it builds on this module
+
         return near_copies.keep_first(docs, width or near_copies.WIDTH, similar)
     prints = cut(fingerprints(named_rows(docs), *ROW))
     return first_rows(docs, prints.join(roots(prints).select("fp", "_root"), "fp"))

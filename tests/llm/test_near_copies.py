@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from echoplane.llm import near_copies as m
+from echoplane.llm import simhash
 
 
 def _texts():
@@ -50,3 +53,32 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d", 1), (5, "a b c d", 2), (5, "z z y", 3), (9, "q q r s", None), (9, "q q r s", None)], "doc_id long, text string, s int")
     assert sorted((r.doc_id, r.text) for r in m.keep_first(df).collect()) == [(5, "a b c d"), (5, "z z y"), (9, "q q r s")]
     assert m.keep_first(df.limit(0)).count() == 0
+
+
+def test_the_stage_finds_links_by_fingerprints(spark, monkeypatch):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(900)]
+    texts = []
+    for _ in range(20):
+        w = rng.choices(words, k=120)
+        other = list(w)
+        for k in (20, 70):
+            other[k] = "changed"
+        texts += [" ".join(w), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = m.ordered_sets([t.encode() for t in texts], np.zeros(0, np.uint64))
+    name, fp = np.array([m.set_name(s) for s in sets]).view(np.int64).tolist(), m.fingerprints(sets)
+    differ = np.bitwise_count(fp[::2] ^ fp[1::2])
+    want = {tuple(sorted(name[2 * k : 2 * k + 2])) for k in np.flatnonzero(differ <= 11).tolist()}
+    found, real = [], m.by_fingerprints
+    monkeypatch.setattr(m, "by_fingerprints", lambda *x: found.append(real(*x)) or found[-1])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()) == list(range(0, 40, 2))
+    assert {tuple(r) for r in found[0].select("u", "v").collect()} == want and len(want) > 15 and differ.max() > 3
+
+
+def test_links_that_no_fingerprints_show(spark, monkeypatch):
+    texts = _texts()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, bits, each: links(nodes, bits, each).limit(0))
+    assert {r.doc_id for r in m.keep_first(df).collect()} == m.brute_force(texts)

@@ -73,3 +73,20 @@ def test_repeated_and_missing_ids(spark):
     assert got == {(m.NULL_ID, fp[a]): 5, (m.NULL_ID, fp[b]): 6, (m.NULL_ID, fp[c]): m.NULL_ID, (5, fp[a]): 5, (6, fp[b]): 6, (8, fp[d]): 8, (8, fp[a]): 5, (9, fp[d]): 8}
     assert sorted(r.n for r in m.keep_first(df).collect()) == [3, 4, 5, 6]
     assert [r.n for r in m.keep_first(df.where("n = 8")).collect()] == [8]
+
+
+def test_wide_tables_bring_all_near_fingerprints_together(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    flips = lambda: np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 9), dtype=np.uint64))
+    fp = np.unique(np.array([b ^ flips() for b in rng.integers(0, 2**64, 50, dtype=np.uint64) for _ in range(6)]))
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp) <= 11)
+    want = {(x, y) for x, y in zip(a.tolist(), b.tolist()) if x < y}
+    nodes = spark.createDataFrame(list(zip(fp.view(np.int64).tolist(), range(len(fp)))), "fp long, id long").repartition(3)
+    for hot in (m.HOT, 12):  # all keys as they are, or the larger ones dealt again
+        monkeypatch.setattr(m, "HOT", hot)
+        got = {(min(r.u, r.v), max(r.u, r.v)) for r in m.links(nodes, 11, 100).collect()}
+        assert got == want and len(want) > 400
+    near = np.bitwise_count(fp[:, None] ^ fp) + np.where(np.eye(len(fp), dtype=bool), 99, 0)
+    a, b = m.near_pairs(fp, 11, 1, 1000)
+    assert sorted(a.tolist()) == [i for i in range(len(fp)) if near[i].min() <= 11]
+    assert all(near[i, j] == near[i].min() for i, j in zip(a, b))
