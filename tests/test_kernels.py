@@ -158,3 +158,13 @@ def test_rank_p_and_corrections(spark):
     assert all(r.significant for r in stats.benjamini_hochberg(ps(0.01, 0.02, 0.03)).collect())
     got = {r.k: r.significant for r in stats.benjamini_hochberg(ps(0.01, 0.5, 0.9)).collect()}
     assert got == {"0": True, "1": False, "2": False}
+
+
+def test_surrogates_of_many_series_at_once():
+    from echoplane.functions.hashrng import HashRng
+
+    x = np.round(np.random.default_rng(3).normal(size=(9, 67)), 2)
+    for kind in k.TOGETHER:
+        make = (k.SURROGATES | k.LEGACY_SURROGATES)[kind]
+        got = k.alternate_all(kind, x, [HashRng(kind, i) for i in range(9)])
+        assert np.allclose(got, [make(v, HashRng(kind, i)) for i, v in enumerate(x)], atol=1e-12), kind
