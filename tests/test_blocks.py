@@ -41,3 +41,15 @@ def test_copies_are_no_distance_apart():
 def test_rows_travel_in_proportion():
     # 615,000 points of 64 numbers, each sent once for every block of the others.
     assert math.ceil(615_000 / stats.BLOCK_POINTS) * 615_000 * 64 * 8 * 2 < 35e9
+
+
+def test_long_work_in_small_rows_is_dealt(spark):
+    from echoplane.ml import benchmarks
+    from echoplane.operators import generate
+    from echoplane.sources import series as sources
+
+    x, y, p = _points(spark, 100)
+    t = sources.from_arrays(spark, [np.sin(np.arange(30.0))])
+    cv = benchmarks.nested_cv(p.selectExpr("id % 2 as g", "id", "label", "features"), "nb", 1, select=False, keys=("g",))
+    for df in (cv, generate.surrogates(t, "FT", 3), generate.window_sensitivity(t, "determinism", [10], 5, tau=1, m=2, eps=0.5)):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
